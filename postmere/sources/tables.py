@@ -58,3 +58,20 @@ def with_columns(df: DataFrame, **types: str) -> DataFrame:
     """*df* with each named column, as a typed NULL where the table lacks it."""
     have = set(df.columns)
     return df.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in have}) if set(types) - have else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, for functions that run in their Python."""
+    import pathlib
+    import zipfile
+
+    context = spark.sparkContext
+    if getattr(context, "_postmere_sent", False):
+        return
+    package = pathlib.Path(__file__).resolve().parents[1]
+    at = pathlib.Path(tempfile.mkdtemp(prefix="postmere-")) / "postmere.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(str(at))
+    context._postmere_sent = True
