@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmere.sources.tables import canonical, materialize
+from postmere.sources.tables import canonical, materialize, ship_package
 
 FIELDS = ("subject", "content", "from_addr")
 BITS = 18
@@ -68,9 +68,11 @@ def _step(wrong: str, true: str):
 
         def undo(run: str) -> str | None:
             try:
-                return bytes([to[ord(c)] for c in run]).decode("utf-8")
+                text = bytes([to[ord(c)] for c in run]).decode("utf-8")
             except (KeyError, UnicodeDecodeError):
                 return None
+            # two right characters may be one of a remote script by chance
+            return None if len(text) == 1 and ("\u0250" <= text <= "\u036f" or "\u0500" <= text <= "\u07ff") else text
 
         return undo
     back = {}
@@ -295,6 +297,7 @@ def find_garbled(records: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     HTML are ASCII and thus no case. Repeated rows are judged alike, each for itself; other columns are ignored.
     """
     spark = records.sparkSession
+    ship_package(spark)
     tokens = tokens_of(records)
     model = fit(tokens, rounds)
     shared = spark.sparkContext.broadcast((model.three, model.two, model.priors))
