@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -258,6 +259,18 @@ def fit(tokens: DataFrame, rounds: int = ROUNDS) -> Model:
     return model
 
 
+_STATE: dict[str, tuple[Model, dict[str, set[str]]]] = {}
+
+
+def _worker_state(shared) -> tuple[Model, dict[str, set[str]]]:
+    """The model and the words found to be right, kept by a worker from task to task."""
+    key, *tables = shared.value
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = Model(*tables), defaultdict(set)
+    return _STATE[key]
+
+
 def judge(model: Model, group: str, tokens: list[str]) -> tuple[int, dict[str, str]] | None:
     """The chain of one text and what its garbled words should be, or None if the text is right.
 
@@ -300,31 +313,33 @@ def find_garbled(records: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     ship_package(spark)
     tokens = tokens_of(records)
     model = fit(tokens, rounds)
-    shared = spark.sparkContext.broadcast((model.three, model.two, model.priors))
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, model.three, model.two, model.priors))
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now = Model(*shared.value)
-        clear: dict[tuple[str, str], bool] = {}
+        now, clear = _worker_state(shared)
         for pdf in batches:
             out = []
-            for i, source, field, toks in zip(pdf["delivery_id"], pdf["source"], pdf["field"], pdf["tokens"], strict=True):
-                group, doubt = f"{field}|{source}", False
+            for i, source, field, text in zip(pdf["delivery_id"], pdf["source"], pdf["field"], pdf["tokens"], strict=True):
+                toks = text.split("\n")
+                group = f"{field}|{source}"
+                sure = clear[group]
+                if sure.issuperset(toks):
+                    continue
+                doubt = False
                 for t in toks:
-                    known = clear.get((group, t))
-                    if known is None:
-                        if len(clear) > 500_000:
-                            clear.clear()
+                    if t not in sure:
                         # surely right, whatever the rest of the text says
-                        known = clear[group, t] = not _MARKS.search(t) and now.posterior(t, group)[0][2] > 0.9999
-                    if not known:
-                        doubt = True
-                        break
-                if doubt and (got := judge(now, group, list(toks))):
+                        if _MARKS.search(t) or now.posterior(t, group)[0][2] <= 0.9999:
+                            doubt = True
+                            break
+                        if len(sure) < 500_000:
+                            sure.add(t)
+                if doubt and (got := judge(now, group, toks)):
                     chain, fixes = got
                     out.append((i, field, "lost" if chain < 0 else "+".join(f"{w}>{e}" for w, e in CHAINS[chain]), list(fixes), list(fixes.values())))
             yield pd.DataFrame(out, columns=["delivery_id", "field", "chain", "bad", "good"])
 
-    rows = tokens.select("delivery_id", "source", "field", "tokens").mapInPandas(judged, "delivery_id bigint, field string, chain string, bad array<string>, good array<string>")
+    rows = tokens.select("delivery_id", "source", "field", F.array_join("tokens", "\n").alias("tokens")).mapInPandas(judged, "delivery_id bigint, field string, chain string, bad array<string>, good array<string>")
     return rows.select("delivery_id", "field", "chain", F.map_from_arrays("bad", "good").alias("fixes"))
 
 

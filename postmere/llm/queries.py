@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmere.llm import encoding
+from postmere.llm import encoding, leakage, mixing, spam
 from postmere.sources.tables import table
 
 
@@ -22,5 +22,32 @@ def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     return both.select("delivery_id", *[F.when(F.col(f"_{f}").isNull(), F.col(f)).otherwise(encoding.repaired(F.col(f), F.col(f"_{f}"))).alias(f) for f in encoding.FIELDS])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """The items that leaked, the documents that hold them and the longest stretch found."""
+    found = leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("words").alias("longest"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.score_pages(table(spark, d, "documents")).filter("is_spam").select("doc_id")
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages and spam pages by the language of their function words."""
+    return spam.score_pages(table(spark, d, "documents")).groupBy("lang").agg(F.count("*").alias("pages"), F.count_if("is_spam").alias("spam"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_languages)}
 ORACLES: dict[str, str] = {}
