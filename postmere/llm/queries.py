@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmere.llm import encoding, leakage, mixing, spam
+from postmere.llm import encoding, leakage, mixing, quoting, spam
 from postmere.sources.tables import table
 
 
@@ -22,6 +22,14 @@ def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     return both.select("delivery_id", *[F.when(F.col(f"_{f}").isNull(), F.col(f)).otherwise(encoding.repaired(F.col(f), F.col(f"_{f}"))).alias(f) for f in encoding.FIELDS])
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return quoting.find_old_lines(table(spark, d, "records"))
+
+
+def p2_new_text(spark: SparkSession, d: str) -> DataFrame:
+    return quoting.new_text(table(spark, d, "records"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -49,5 +57,5 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
     return spam.score_pages(table(spark, d, "documents")).groupBy("lang").agg(F.count("*").alias("pages"), F.count_if("is_spam").alias("spam"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_new_text, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_languages)}
 ORACLES: dict[str, str] = {}
