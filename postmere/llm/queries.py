@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmere.llm import encoding, leakage, mixing, quoting, spam
+from postmere.llm import encoding, leakage, mixing, pii, quoting, spam
 from postmere.sources.tables import table
 
 
@@ -30,6 +30,15 @@ def p2_new_text(spark: SparkSession, d: str) -> DataFrame:
     return quoting.new_text(table(spark, d, "records"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_personal(table(spark, d, "records"), table(spark, d, "messages"))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The same texts with a placeholder of its type for each item."""
+    return pii.find_personal(table(spark, d, "records"), table(spark, d, "messages"), with_text=True)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -57,5 +66,5 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
     return spam.score_pages(table(spark, d, "documents")).groupBy("lang").agg(F.count("*").alias("pages"), F.count_if("is_spam").alias("spam"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_new_text, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_new_text, p3_found, p3_redacted, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_languages)}
 ORACLES: dict[str, str] = {}
