@@ -140,6 +140,7 @@ class Model:
     def __init__(self, three: np.ndarray, two: np.ndarray, priors: dict[str, dict[int, float]]):
         self.three, self.two, self.priors = three, two, priors
         self._cache: dict[str, float] = {}
+        self._options: dict[str, tuple[bool, list[tuple[int, float, str]]]] = {}
 
     def loglik(self, text: str) -> float:
         got = self._cache.get(text)
@@ -161,6 +162,20 @@ class Model:
         base = (every.get(chain, 0.0) + (20.0 if chain == 0 else 0.02)) / (n_all + 20.0 + 0.02 * (len(CHAINS) - 1))
         return math.log((own.get(chain, 0.0) + 50.0 * base) / (n + 50.0))
 
+    def options(self, token: str) -> tuple[bool, list[tuple[int, float, str]]]:
+        """Whether a token shows loss, and what each chain that fits it adds to the log likelihood of its text, in
+        which a share of the words may be right all the same."""
+        got = self._options.get(token)
+        if got is None:
+            if len(self._options) > 200_000:
+                self._options.clear()
+            same, found = self.as_is(token), []
+            for k, text in candidates(token)[1:]:
+                x, y = math.log(1 - MIXED) + self.loglik(text), math.log(MIXED) + same
+                found.append((k, max(x, y) + math.log1p(math.exp(-abs(x - y))) - same, text))
+            got = self._options[token] = (bool(_MARKS.search(token)), found)
+        return got
+
     def posterior(self, token: str, group: str) -> list[tuple[int, str, float]]:
         found = candidates(token)
         if len(found) == 1:
@@ -276,27 +291,20 @@ def judge(model: Model, group: str, tokens: list[str]) -> tuple[int, dict[str, s
 
     Chain -1: something is lost (replacement or control characters) and no chain explains the rest.
     """
-    lost = any(_MARKS.search(t) for t in tokens)
-    found = {t: candidates(t) for t in set(tokens)}
-    chains = {k for c in found.values() for k, _ in c if k}
-    best, chain = model.prior(group, 0) + sum(model.as_is(t) for t in tokens), 0
-    for k in chains:
-        score = model.prior(group, k)
-        for t in tokens:
-            same, text = model.as_is(t), next((x for c, x in found[t] if c == k), None)
-            if text is not None:
-                a, b = math.log(1 - MIXED) + model.loglik(text), math.log(MIXED) + same
-                same = max(a, b) + math.log1p(math.exp(-abs(a - b)))
-            score += same
-        if score > best:
+    lost = False
+    gains: dict[int, float] = {}
+    for t in tokens:
+        marked, options = model.options(t)
+        lost = lost or marked
+        for k, gain, _ in options:
+            gains[k] = gains.get(k, 0.0) + gain
+    best, chain = model.prior(group, 0), 0
+    for k, gain in gains.items():
+        if (score := model.prior(group, k) + gain) > best:
             best, chain = score, k
     if not chain:
         return (-1, {}) if lost else None
-    fixes = {}
-    for t, c in found.items():
-        text = next((x for k, x in c if k == chain), None)
-        if text is not None and model.loglik(text) > model.as_is(t):
-            fixes[t] = text
+    fixes = {t: text for t in tokens for k, _, text in model.options(t)[1] if k == chain and model.loglik(text) > model.as_is(t)}
     if not fixes:
         return (-1, {}) if lost else None
     return chain, fixes
