@@ -1,0 +1,46 @@
+"""Evaluation metrics as aggregations over ``gold`` and ``pred`` columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def class_counts(pairs: DataFrame) -> DataFrame:
+    """``class, tp, fp, fn`` of each class in gold or prediction; a missing prediction is a miss, not a class."""
+    hit = F.coalesce(F.col("gold") == F.col("pred"), F.lit(False))
+    each = pairs.select(F.explode(F.array(
+        F.struct(F.col("gold").alias("class"), F.when(hit, 1).otherwise(0).alias("tp"), F.lit(0).alias("fp"), F.when(hit, 0).otherwise(1).alias("fn")),
+        F.struct(F.when(~hit, F.col("pred")).alias("class"), F.lit(0).alias("tp"), F.lit(1).alias("fp"), F.lit(0).alias("fn")),
+    )).alias("x")).select("x.*")
+    return each.filter("class is not null").groupBy("class").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+
+
+def f1_scores(pairs: DataFrame) -> DataFrame:
+    """``class, precision, recall, f1``; a ratio without cases is NULL, its F1 0."""
+    c = class_counts(pairs)
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
+    return c.select("class", F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")).alias("precision"), F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")).alias("recall"), f1.alias("f1"))
+
+
+def macro_f1(pairs: DataFrame) -> DataFrame:
+    return f1_scores(pairs).agg(F.avg("f1").alias("macro_f1"))
+
+
+def confusion(pairs: DataFrame) -> DataFrame:
+    """``gold, pred, n``; a missing prediction reads ``<invalid>``."""
+    return pairs.groupBy("gold", F.coalesce("pred", F.lit("<invalid>")).alias("pred")).agg(F.count("*").alias("n"))
+
+
+def ordinal_error(pairs: DataFrame, rank) -> DataFrame:
+    """``mae, under``: mean distance of ranks, and the share of predictions below gold."""
+    g, p = rank(F.col("gold")), rank(F.col("pred"))
+    return pairs.agg(F.avg(F.abs(g - p).cast("double")).alias("mae"), F.avg(F.when(p < g, 1.0).otherwise(0.0)).alias("under"))
+
+
+def date_error(pairs: DataFrame) -> DataFrame:
+    """Deadlines: ``exact``, ``near`` (within a day) of gold ones, ``invented`` of predictions without gold."""
+    g, p = F.col("gold"), F.col("pred")
+    near = F.abs(F.datediff(g, p)) <= 1
+    share = lambda hit, of: F.try_divide(F.count_if(hit).cast("double"), F.count_if(of))
+    return pairs.agg(share(g == p, g.isNotNull()).alias("exact"), share(near, g.isNotNull()).alias("near"), share(g.isNull() & p.isNotNull(), p.isNotNull()).alias("invented"))

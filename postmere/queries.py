@@ -2,17 +2,221 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmere.detect import credentials
+from postmere.functions import text as tx
+from postmere.functions.classify import classify
+from postmere.operators import messageid, metrics, projection
+from postmere.plans import engine, served
+from postmere.plans.spec import PRESETS, Spec
 from postmere.sources.tables import table
 
+NOW = dt.datetime(2025, 12, 1, tzinfo=dt.UTC)
+DIGEST = "9e42d6f8015ab73c"
+QUERIES, ORACLES = {}, {}
+_M = """WITH m AS (SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY id
+  ORDER BY synced_at DESC NULLS LAST, enriched_at DESC NULLS LAST, policy_hash DESC NULLS LAST) = 1)
+"""
+_S = _M[:-1] + f""", s AS (SELECT id, source, account, sender_domain, domain, category, importance, time_sensitive, sent_at, deadline, policy_hash,
+  CASE WHEN policy_hash = '{DIGEST}' THEN one_line ELSE '[pending redaction] ' || coalesce(domain, 'other') || ' item' END AS one_line,
+  CASE WHEN policy_hash = '{DIGEST}' THEN organizations END AS organizations, CASE WHEN policy_hash = '{DIGEST}' THEN facts END AS facts FROM m)
+"""
+_E = """WITH e AS (SELECT * FROM enrichments WHERE doc_id IS NOT NULL AND enrichment IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id
+  ORDER BY enriched_at DESC NULLS LAST, enrichment_model DESC NULLS LAST, schema_version DESC NULLS LAST) = 1)
+"""
+_RANK = "CASE importance WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
+_PRIORITY = f"{_RANK}, time_sensitive DESC NULLS LAST, sent_at DESC NULLS LAST, id"
+_ORDER = {
+    "newest": "sent_at DESC NULLS LAST, id DESC", "oldest": "sent_at ASC NULLS LAST, id", "priority": _PRIORITY, "deadline": f"deadline ASC NULLS LAST, {_PRIORITY}",
+}
+
+
+def held(spark: SparkSession, d: str) -> DataFrame:
+    return served.holding(table(spark, d, "messages"))
+
+
+def tier(spark: SparkSession, d: str) -> engine.Tier:
+    return engine.Tier(held(spark, d), PRESETS)
+
+
+def tier_served(spark: SparkSession, d: str) -> engine.Tier:
+    return engine.Tier(served.served(held(spark, d), DIGEST), PRESETS, ranked="vector_current")
+
+
+def add(name: str, run, sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLES[name] = sql
+
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Travel mail of 2025, newest first."""
-    rows = table(spark, d, "messages").filter((F.col("domain") == "travel") & (F.col("sent_at") >= "2025-01-01") & (F.col("sent_at") < "2026-01-01"))
-    return rows.orderBy(F.desc_nulls_last("sent_at"), F.desc("id")).select("id", "sent_at", "domain", "importance").limit(50)
+    spec = Spec(filters={"domain": "travel", "sent_at": {"since": "2025-01-01", "until": "2026-01-01"}}, limit=50)
+    return engine.page(tier(spark, d), spec, NOW).select("id", "sent_at", "domain", "importance")
+
+
+# Filters: all matching ids, no page.
+for _name, _value, _where in (
+    ("domain", ["travel", "work"], "domain IN ('travel', 'work')"),
+    ("category", "newsletter", "category = 'newsletter'"),
+    ("transactional_type", ["receipt", "invoice"], "transactional_type IN ('receipt', 'invoice')"),
+    ("importance", "high", "importance = 'high'"),
+    ("waiting_on", "me", "waiting_on = 'me'"),
+    ("action_type", ["pay", "reply"], "action_type IN ('pay', 'reply')"),
+    ("suggested_disposition", "archive", "suggested_disposition = 'archive'"),
+    ("requires_action", True, "requires_action = true"),
+    ("time_sensitive", False, "time_sensitive = false"),
+    ("due", True, "(time_sensitive OR deadline IS NOT NULL) = true"),
+    ("due", False, "(time_sensitive OR deadline IS NOT NULL) = false"),
+    ("sender_domain", "kestrel.example", "sender_domain = 'kestrel.example'"),
+    ("source", "imap:work", "source = 'imap:work'"),
+    ("account", "me@lundmail.example", "account = 'me@lundmail.example'"),
+    ("organization", "energy", "len(list_filter(organizations, lambda x: x ILIKE '%energy%')) > 0"),
+    ("max_sensitivity", "low", "CASE sensitivity_level WHEN 'none' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 END <= 1"),
+    ("facts.travel", True, "(facts.travel IS NOT NULL) = true"),
+    ("facts.travel.origin_country", ["no", "GB"], "facts.travel.origin.country IN ('NO', 'GB')"),
+    ("facts.travel.destination_country", "no", "facts.travel.destination.country IN ('NO')"),
+    ("facts.travel.carrier", "SKYHAMMER AIR", "lower(facts.travel.carrier) = 'skyhammer air'"),
+    ("sent_at", {"since": "2024-06-01", "until": "2025-01-01T12:30:00+02:00"}, "sent_at >= TIMESTAMPTZ '2024-06-01 00:00:00+00' AND sent_at < TIMESTAMPTZ '2025-01-01 10:30:00+00'"),
+    ("deadline", {"since": "2024-01-01", "until": "2024-06-30T08:00:00"}, "deadline >= DATE '2024-01-01' AND deadline < DATE '2024-07-01'"),
+    ("facts.travel.start", {"since": "2024-01-01"}, "facts.travel.start_date >= DATE '2024-01-01'"),
+    ("facts.travel.end", {"until": "2025-01-01"}, "facts.travel.end_date < DATE '2025-01-01'"),
+):
+    _key = f"filter_{_name.replace('.', '_')}" + ("_not" if _name == "due" and not _value else "")
+    add(_key, lambda s, d, n=_name, v=_value: engine.matching(tier(s, d), Spec(filters={n: v}), NOW).select("id"), _M + f"SELECT id FROM m WHERE {_where}")
+add("filter_window_30d", lambda s, d: engine.matching(tier(s, d), Spec(filters={"sent_at": {"since": "30d"}}), NOW).select("id"), _M + "SELECT id FROM m WHERE sent_at >= TIMESTAMPTZ '2025-11-01 00:00:00+00'")
+add("text_keyword", lambda s, d: engine.matching(tier(s, d), Spec(text="DEPOSIT"), NOW).select("id"), _M + "SELECT id FROM m WHERE one_line ILIKE '%deposit%' OR action_summary ILIKE '%deposit%'")
+add("text_literal_percent", lambda s, d: engine.matching(tier(s, d), Spec(text="_%"), NOW).select("id"), _M + r"SELECT id FROM m WHERE one_line ILIKE '%\_\%%' ESCAPE '\' OR action_summary ILIKE '%\_\%%' ESCAPE '\'")
+add("filter_combined", lambda s, d: engine.matching(tier(s, d), Spec(filters={"domain": ["bills", "banking"], "requires_action": True, "max_sensitivity": "medium"}), NOW).select("id"),
+    _M + "SELECT id FROM m WHERE domain IN ('bills', 'banking') AND requires_action AND sensitivity_level IN ('none', 'low', 'medium')")
+
+# Pages: a top-k report in each order, and the pages behind a position.
+for _order, _sql in _ORDER.items():
+    add(f"page_{_order}", lambda s, d, o=_order: engine.page(tier(s, d), Spec(order=o, limit=40), NOW).select("id"), _M + f"SELECT id FROM m ORDER BY {_sql} LIMIT 41")
+add("page_newest_after", lambda s, d: engine.page(tier(s, d), Spec(order="newest", limit=40), NOW, (1735689600000000, "m")).select("id"),
+    _M + "SELECT id FROM m WHERE sent_at IS NULL OR sent_at < TIMESTAMPTZ '2025-01-01 00:00:00+00' OR (sent_at = TIMESTAMPTZ '2025-01-01 00:00:00+00' AND id < 'm') ORDER BY sent_at DESC NULLS LAST, id DESC LIMIT 41")
+add("page_oldest_after", lambda s, d: engine.page(tier(s, d), Spec(order="oldest", limit=40), NOW, (1735689600000000, "m")).select("id"),
+    _M + "SELECT id FROM m WHERE sent_at IS NULL OR sent_at > TIMESTAMPTZ '2025-01-01 00:00:00+00' OR (sent_at = TIMESTAMPTZ '2025-01-01 00:00:00+00' AND id > 'm') ORDER BY sent_at ASC NULLS LAST, id LIMIT 41")
+add("page_undated_after", lambda s, d: engine.page(tier(s, d), Spec(order="oldest", limit=40), NOW, (None, "h")).select("id"), _M + "SELECT id FROM m WHERE sent_at IS NULL AND id > 'h' ORDER BY id LIMIT 41")
+add("page_priority_offset", lambda s, d: engine.page(tier(s, d), Spec(order="priority", limit=40), NOW, 60).select("id"), _M + f"SELECT id FROM m ORDER BY {_PRIORITY} LIMIT 41 OFFSET 60")
+add("page_travel_2025", lambda s, d: flagship(s, d).select("id", "domain", "importance"),
+    _M + "SELECT id, domain, importance FROM m WHERE domain = 'travel' AND sent_at >= TIMESTAMPTZ '2025-01-01 00:00:00+00' AND sent_at < TIMESTAMPTZ '2026-01-01 00:00:00+00' ORDER BY sent_at DESC NULLS LAST, id DESC LIMIT 51")
+
+# Grouped counts.
+_DIM = {"month": "strftime(sent_at AT TIME ZONE 'UTC', '%Y-%m')", "facts.travel.origin_country": "facts.travel.origin.country", "facts.travel.destination_country": "facts.travel.destination.country",
+        "facts.travel.start_year": "strftime(facts.travel.start_date, '%Y')"}
+for _dims in (("domain",), ("sender_domain",), ("category",), ("importance", "domain"), ("suggested_disposition",), ("month", "domain"), ("facts.travel.origin_country",), ("facts.travel.destination_country", "facts.travel.start_year")):
+    _cols = ", ".join(f"{_DIM.get(x, x)} AS g{k}" for k, x in enumerate(_dims, 1))
+    _gs = ", ".join(f"g{k}" for k in range(1, len(_dims) + 1))
+    _by = ", ".join(f"g{k} ASC NULLS LAST" for k in range(1, len(_dims) + 1))
+    add("group_" + "_".join(x.rpartition(".")[2] for x in _dims), lambda s, d, g=_dims: engine.groups(tier(s, d), Spec(group_by=g), NOW),
+        _M + f"SELECT {_gs}, count(*) AS items, min(epoch_us(sent_at)) AS first_us, max(epoch_us(sent_at)) AS last_us FROM (SELECT sent_at, {_cols} FROM m) GROUP BY {_gs} ORDER BY {_by} LIMIT 101")
+add("group_organization", lambda s, d: engine.groups(tier(s, d), Spec(group_by=("organization",)), NOW),
+    _M + "SELECT g1, count(*) AS items, min(epoch_us(sent_at)) AS first_us, max(epoch_us(sent_at)) AS last_us FROM (SELECT sent_at, unnest(CASE WHEN len(organizations) > 0 THEN organizations ELSE [NULL] END) AS g1 FROM m) GROUP BY g1 ORDER BY g1 ASC NULLS LAST LIMIT 101")
+add("group_total", lambda s, d: engine.total(tier(s, d), Spec(filters={"organization": "a"}), NOW), _M + "SELECT count(*) AS total FROM m WHERE len(list_filter(organizations, lambda x: x ILIKE '%a%')) > 0")
+add("index_stats", lambda s, d: (lambda m: m.groupBy(F.lit("domain").alias("dimension"), F.col("domain").alias("key")).agg(F.count("*").alias("n")).unionByName(
+    m.groupBy(F.lit("category").alias("dimension"), F.col("category").alias("key")).agg(F.count("*").alias("n"))))(held(s, d)),
+    _M + "SELECT 'domain' AS dimension, domain AS key, count(*) AS n FROM m GROUP BY domain UNION ALL SELECT 'category', category, count(*) FROM m GROUP BY category")
+
+# The served view: text of rows under another policy is hidden from every filter and group.
+add("served_rows", lambda s, d: served.served(held(s, d), DIGEST).select("id", "one_line", F.col("organizations").isNull().alias("no_orgs")), _S + "SELECT id, one_line, organizations IS NULL AS no_orgs FROM s")
+add("served_keyword", lambda s, d: engine.matching(tier_served(s, d), Spec(text="invoice"), NOW).select("id"),
+    _S + f"SELECT s.id FROM s JOIN m ON m.id = s.id WHERE s.one_line ILIKE '%invoice%' OR (m.policy_hash = '{DIGEST}' AND m.action_summary ILIKE '%invoice%')")
+add("served_backlog", lambda s, d: served.backlog(held(s, d), DIGEST),
+    _M + f"SELECT count(*) FILTER (WHERE policy_hash IS DISTINCT FROM '{DIGEST}') AS pending, count(*) FILTER (WHERE policy_hash = '{DIGEST}' AND embedded_policy_hash IS DISTINCT FROM policy_hash) AS embed_stale FROM m")
+add("sync_actions", lambda s, d: projection.sync_actions(projection.latest(table(s, d, "enrichments")), held(s, d), DIGEST).groupBy("action").agg(F.count("*").alias("n")),
+    _M[:-1] + ", " + _E[5:] + f"""SELECT action, count(*) AS n FROM (SELECT CASE WHEN m.id IS NULL THEN 'insert' WHEN m.enriched_at IS DISTINCT FROM e.enriched_at THEN 'replace'
+ WHEN m.policy_hash IS DISTINCT FROM '{DIGEST}' THEN 'reproject' WHEN m.embedded_policy_hash IS DISTINCT FROM m.policy_hash THEN 'reembed' ELSE 'skip' END AS action
+ FROM e LEFT JOIN m ON m.id = e.doc_id) GROUP BY action""")
+add("projected_rows", lambda s, d: projection.project(projection.latest(table(s, d, "enrichments"))).select("id", "domain", "importance", "waiting_on", "sensitivity_level", "one_line", "requires_action", F.size(F.coalesce("organizations", F.array())).alias("orgs")),
+    _E + """SELECT doc_id AS id, coalesce(nullif(enrichment.domain, ''), 'other') AS domain, coalesce(nullif(enrichment.importance, ''), 'low') AS importance, coalesce(nullif(enrichment.waiting_on, ''), 'none') AS waiting_on,
+ coalesce(enrichment.sensitivity_level, 'none') AS sensitivity_level, CASE WHEN g THEN '[sensitive] ' || coalesce(nullif(enrichment.domain, ''), 'other') || ' item' ||
+ CASE WHEN coalesce(enrichment.requires_action, false) THEN ' — action: ' || coalesce(nullif(enrichment.action_type, ''), 'none') ELSE '' END ELSE enrichment.one_line END AS one_line,
+ coalesce(enrichment.requires_action, false) AS requires_action, CASE WHEN g THEN 0 ELSE coalesce(len(enrichment.organizations), 0) END AS orgs
+ FROM (SELECT *, coalesce(enrichment.sensitivity_level = 'high', false) AND coalesce(len(enrichment.people), 0) = 0 AS g FROM e)""")
+
+# Joins.
+add("join_enriched", lambda s, d: table(s, d, "records").select(F.concat("source", F.lit("::"), "source_uid").alias("doc_id"), "delivery_id").join(projection.latest(table(s, d, "enrichments")), "doc_id").select("doc_id", "delivery_id"),
+    _E + "SELECT e.doc_id, r.delivery_id FROM records r JOIN e ON e.doc_id = r.source || '::' || r.source_uid")
+_OPEN = lambda s, d: table(s, d, "enrichments").filter("enrichment is not null or (rejected_at is not null and rejected_reason not like '429:%')").select("doc_id")
+add("enrichment_backlog", lambda s, d: table(s, d, "records").select(F.concat("source", F.lit("::"), "source_uid").alias("doc_id")).distinct().join(_OPEN(s, d), "doc_id", "left_anti"),
+    "SELECT DISTINCT r.source || '::' || r.source_uid AS doc_id FROM records r WHERE r.source IS NOT NULL AND r.source_uid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM enrichments e WHERE e.doc_id = r.source || '::' || r.source_uid AND (e.enrichment IS NOT NULL OR (e.rejected_at IS NOT NULL AND e.rejected_reason NOT LIKE '429:%')))")
+add("source_eligibility", lambda s, d: table(s, d, "records").groupBy("source").agg(F.count("*").alias("n")).join(table(s, d, "source_list").select("source", "enrichable"), "source", "left").select("source", "n", F.coalesce("enrichable", F.lit(False)).alias("enrichable")),
+    "SELECT r.source, count(*) AS n, coalesce(any_value(l.enrichable), false) AS enrichable FROM records r LEFT JOIN source_list l ON l.source = r.source GROUP BY r.source")
+
+# Detection, classification, text functions.
+add("classify_records", lambda s, d: table(s, d, "records").select(classify(F.col("kind"), F.col("headers"), F.col("from_addr")).alias("c")).groupBy("c.label").agg(F.count("*").alias("n")))
+add("sender_domains", lambda s, d: table(s, d, "records").groupBy(tx.sender_domain(F.col("from_addr")).alias("sender_domain")).agg(F.count("*").alias("n")),
+    "SELECT CASE WHEN contains(from_addr, '@') THEN nullif(lower(trim(regexp_replace(trim(regexp_extract(from_addr, '@([^@]*)$', 1)), '>+$', ''))), '') END AS sender_domain, count(*) AS n FROM records GROUP BY 1")
+_COUNT_SQL = ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {n}" for n, p in credentials.RULES.items())
+add("credential_counts", lambda s, d: table(s, d, "documents").select("doc_id", *[F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).cast("long").alias(n) for n, p in credentials.RULES.items()]), f"SELECT doc_id, {_COUNT_SQL} FROM documents WHERE text IS NOT NULL")
+add("credential_report", lambda s, d: table(s, d, "records").select("delivery_id", F.explode(credentials.counts(F.col("content"))).alias("type", "n")).groupBy("type").agg(F.countDistinct("delivery_id").alias("records"), F.sum("n").alias("n")))
+add("redacted_documents", lambda s, d: table(s, d, "documents").select("doc_id", credentials.redact(F.col("text")).alias("r")).select("doc_id", "r.text"))
+add("message_references", lambda s, d: held(s, d).select("id", messageid.parse_id(F.col("id")).alias("p")).filter("p is not null").select("id", "p.kind", "p.mailbox", "p.uid"),
+    _M + r"SELECT id, regexp_extract(id, '^([a-z0-9_-]+):', 1) AS kind, regexp_extract(id, '^[a-z0-9_-]+:([a-z0-9_-]+)::', 1) AS mailbox, regexp_extract(id, '^[a-z0-9_-]+:[a-z0-9_-]+::(.+)$', 1, 's') AS uid FROM m WHERE regexp_full_match(id, 'gmail:[a-z0-9_-]{1,32}::[0-9a-f]{8,32}|imap:[a-z0-9_-]{1,32}::[^\x00-\x1f]+:[1-9][0-9]*:[1-9][0-9]*|jmap:[a-z0-9_-]{1,32}::[A-Za-z0-9_-]{1,255}|graph:[a-z0-9_-]{1,32}::[A-Za-z0-9_=+/-]{1,512}')")
+add("embed_inputs", lambda s, d: table(s, d, "documents").select("doc_id", F.length(tx.embed_input(F.lit(None).cast("string"), F.col("text"))).alias("chars")))
+
+# Vector ranking.
+_VEC = lambda s, d: table(s, d, "embeddings")
+
+
+def vector_nearest(s: SparkSession, d: str) -> DataFrame:
+    """The 20 vectors nearest to that of the smallest id: a top-k report."""
+    query = _VEC(s, d).orderBy("vec_id").select("embedding").first()[0]
+    v = F.array(*[F.lit(float(x)) for x in query])
+    dist = engine.cosine_distance(F.col("embedding"), v)
+    return _VEC(s, d).select("vec_id", F.round(dist, 6).alias("distance"), dist.alias("_d")).orderBy(F.asc_nulls_last("_d"), "vec_id").limit(20).select("vec_id", "distance")
+
+
+add("vector_nearest", vector_nearest, "SELECT vec_id, round(list_cosine_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)), 6) AS distance FROM embeddings ORDER BY list_cosine_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)), vec_id LIMIT 20")
+add("vector_search_served", lambda s, d: engine.nearest(tier_served(s, d), Spec(semantic=tuple([1.0] + [0.0] * 15), filters={"importance": "high"}, limit=50), NOW).select("id", F.round("score", 6).alias("score")))
+
+# Briefing sections: an item counts in the first section that holds it.
+_DUE, _ACT, _WAIT = "deadline >= DATE '2025-11-24' AND deadline < DATE '2025-12-15'", "requires_action", "waiting_on = 'them'"
+add("briefing_counts", lambda s, d: held(s, d).select(F.expr(f"CASE WHEN {_DUE} THEN 'due_soon' WHEN {_ACT} THEN 'action_items' WHEN {_WAIT} THEN 'waiting_on' END").alias("section")).filter("section is not null").groupBy("section").agg(F.count("*").alias("n")),
+    _M + f"SELECT section, count(*) AS n FROM (SELECT CASE WHEN {_DUE} THEN 'due_soon' WHEN {_ACT} THEN 'action_items' WHEN {_WAIT} THEN 'waiting_on' END AS section FROM m) WHERE section IS NOT NULL GROUP BY section")
+add("tally_top_other", lambda s, d: _tally(held(s, d)),
+    _M + """SELECT CASE WHEN r <= 20 THEN key ELSE '(other)' END AS key, CAST(sum(n) AS BIGINT) AS n FROM (SELECT key, n, row_number() OVER (ORDER BY n DESC, key) AS r FROM (
+ SELECT coalesce(sender_domain, 'unknown') AS key, count(*) AS n FROM m GROUP BY 1)) GROUP BY 1""")
+
+
+def _tally(rows: DataFrame, top: int = 20) -> DataFrame:
+    """Counts by sender domain, all but the *top* ones summed as ``(other)``. The top ones come from a sort with a
+    limit, so no task orders every group."""
+    counts = rows.groupBy(F.coalesce("sender_domain", F.lit("unknown")).alias("key")).agg(F.count("*").alias("n"))
+    first = counts.orderBy(F.desc("n"), F.asc("key")).limit(top).select("key", F.lit(True).alias("_top"))
+    named = counts.join(F.broadcast(first), "key", "left")
+    return named.groupBy(F.when(F.col("_top"), F.col("key")).otherwise("(other)").alias("key")).agg(F.sum("n").alias("n"))
+
+
+# Evaluation metrics: the sanitized tier's columns as predictions of the newest enrichment.
+def _pairs(s: SparkSession, d: str, column: str) -> DataFrame:
+    gold = projection.latest(table(s, d, "enrichments")).select(F.col("doc_id").alias("id"), F.col(f"enrichment.{column}").alias("gold"))
+    return gold.join(held(s, d).select("id", F.col(column).alias("pred")), "id").filter("gold is not null") if column != "deadline" else gold.join(held(s, d).select("id", F.col(column).alias("pred")), "id")
+
+
+def _pair_sql(column: str, keep: str = "WHERE gold IS NOT NULL") -> str:
+    return _M[:-1] + ", " + _E[5:-1] + f", p AS (SELECT * FROM (SELECT e.enrichment.{column} AS gold, m.{column} AS pred FROM e JOIN m ON m.id = e.doc_id) {keep})\n"
+
 
+_CLASSES = """, c AS (SELECT class, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (SELECT gold AS class, CASE WHEN gold = pred THEN 1 ELSE 0 END AS tp, 0 AS fp, CASE WHEN gold = pred THEN 0 ELSE 1 END AS fn FROM p
+ UNION ALL SELECT pred, 0, 1, 0 FROM p WHERE pred IS NOT NULL AND pred <> gold) GROUP BY class)
+"""
+add("metric_class_scores", lambda s, d: metrics.f1_scores(_pairs(s, d, "category")).select("class", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), F.round("f1", 9).alias("f1")),
+    _pair_sql("category")[:-1] + _CLASSES + "SELECT class, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 9) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 9) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 9) AS f1 FROM c")
+add("metric_macro_f1", lambda s, d: metrics.macro_f1(_pairs(s, d, "domain")).select(F.round("macro_f1", 9).alias("macro_f1")),
+    _pair_sql("domain")[:-1] + _CLASSES + "SELECT round(avg(CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn)), 9) AS macro_f1 FROM c")
+add("metric_confusion", lambda s, d: metrics.confusion(_pairs(s, d, "importance")), _pair_sql("importance") + "SELECT gold, coalesce(pred, '<invalid>') AS pred, count(*) AS n FROM p GROUP BY 1, 2")
+add("metric_deadlines", lambda s, d: metrics.date_error(_pairs(s, d, "deadline")).select(*[F.round(c, 9).alias(c) for c in ("exact", "near", "invented")]),
+    _pair_sql("deadline", "") + "SELECT round(CAST(count(*) FILTER (WHERE gold = pred) AS DOUBLE) / count(gold), 9) AS exact, round(CAST(count(*) FILTER (WHERE abs(gold - pred) <= 1) AS DOUBLE) / count(gold), 9) AS near, round(CAST(count(*) FILTER (WHERE gold IS NULL AND pred IS NOT NULL) AS DOUBLE) / nullif(count(pred), 0), 9) AS invented FROM p")
+add("metric_coverage", lambda s, d: table(s, d, "eval_items").groupBy("labels.category", "labels.domain").agg(F.count("*").alias("n")), "SELECT labels.category AS category, labels.domain AS domain, count(*) AS n FROM eval_items GROUP BY 1, 2")
 
-QUERIES = {}
-ORACLES = {}
+# The star schema and the event log.
+add("events_by_month", lambda s, d: table(s, d, "events").groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.countDistinct("user_id").alias("users")),
+    "SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")
+add("orders_by_nation", lambda s, d: table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")),
+    "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
