@@ -204,7 +204,7 @@ def tokens_of(records: DataFrame) -> DataFrame:
     """``delivery_id, field, source, tokens``: the words with characters outside ASCII, of texts that have any."""
     src = F.coalesce(canonical(F.col("source")), F.lit(""))
     one = lambda f: F.struct(F.lit(f).alias("field"), F.when(F.col(f).rlike(r"[^\x00-\x7F]"), F.regexp_extract_all(F.col(f), F.lit(TOKEN), F.lit(0))).alias("tokens"))
-    rows = records.select("delivery_id", src.alias("source"), F.explode(F.array(*[one(f) for f in FIELDS])).alias("_x"))
+    rows = records.filter("delivery_id is not null").select("delivery_id", src.alias("source"), F.explode(F.array(*[one(f) for f in FIELDS])).alias("_x"))
     return rows.select("delivery_id", "source", "_x.field", "_x.tokens").filter("tokens is not null")
 
 
@@ -314,7 +314,7 @@ def find_garbled(records: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``delivery_id, field, chain, fixes``: each field that holds wrongly decoded text.
 
     ``chain`` names the wrong decodings, ``lost`` if none explains the text; ``fixes`` maps each garbled word to the
-    word it was, as far as it survives. Null and empty fields and texts in ASCII are right. Escapes of transfer or
+    word it was, as far as it survives. Null and empty fields and texts in ASCII are right; rows without ``delivery_id`` are left out. Escapes of transfer or
     HTML are ASCII and thus no case. Repeated rows are judged alike, each for itself; other columns are ignored.
     """
     spark = records.sparkSession

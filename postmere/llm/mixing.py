@@ -47,7 +47,7 @@ def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             pdf["tokens"] = [len(t) for t in enc.encode_ordinary_batch(list(pdf["text"]), num_threads=1)]
             yield pdf
 
-    rows = documents.filter("text is not null and source is not null").select("doc_id", source_key(F.col("source")).alias("source"), "text")
+    rows = documents.filter("doc_id is not null and text is not null and source is not null").select("doc_id", source_key(F.col("source")).alias("source"), "text")
     return rows.mapInPandas(run, "doc_id bigint, source string, text string, tokens bigint")
 
 
@@ -120,7 +120,7 @@ def replicate(sizes: DataFrame, plan: list[dict], seed: int = 17) -> DataFrame:
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizer: str = TOKENIZER, seed: int = 17) -> DataFrame:
     """``doc_id, source, copy, tokens, text``: the mixture, in a random order over all of it.
 
-    Null texts and sources, and sources without a target, are left out; empty texts weigh nothing and are used as
+    Null ids, texts and sources, and sources without a target, are left out; empty texts weigh nothing and are used as
     their source's other texts are. Rows that repeat a ``doc_id`` are repeated alike. Other columns are ignored.
     """
     sizes = materialize(token_sizes(documents, tokenizer), "sizes")

@@ -114,7 +114,7 @@ def features(documents: DataFrame) -> DataFrame:
             })
 
     schema = "doc_id bigint, lang string, fw double, pieces array<struct<" + ", ".join(f"{n}: {'string' if n == 'lang' else 'double'}" for n in NAMES) + ">>"
-    return documents.filter("text is not null").select("doc_id", "text").mapInPandas(run, schema)
+    return documents.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(run, schema)
 
 
 def calibrate(feats: DataFrame, part: float = 0.25, least: float = 0.06) -> dict[str, float]:
@@ -142,7 +142,7 @@ def score_pages(documents: DataFrame) -> DataFrame:
     """``doc_id, lang, spam_share, is_spam`` of each document with a text.
 
     ``lang`` is found by function words, not taken from the table. A text without letters or digits has share 0.
-    Null texts give no row; repeated rows are judged each for itself; copied texts alike; columns besides
+    Null texts and ids give no row; repeated rows are judged each for itself; copied texts alike; columns besides
     ``doc_id`` and ``text`` are ignored. Whole texts are read.
     """
     feats = materialize(features(documents), "pages")
