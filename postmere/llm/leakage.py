@@ -74,57 +74,80 @@ def _runs(words: list[str], item: Item) -> list[tuple[int, int, int]]:
     return sorted((i, p, n) for i, p, n in runs)
 
 
-def _beyond(words: list[str], body: list[str], i: int, p: int, step: int) -> int:
-    """Words of the body gained by going on from ``i, p`` over one changed, dropped or added word; 0 if none."""
-    best = 0
+def _other_answer(body: list[str], text: list[str]) -> bool:
+    """Whether both stretches state figures, and other ones: sentences of one build with other contents."""
+    a, b = ([w for w in ws if any(c.isdigit() for c in w)] for ws in (body, text))
+    return bool(a) and bool(b) and a != b
+
+
+def _beyond(words: list[str], body: list[str], i: int, p: int, step: int, most: int = 2) -> list[tuple[int, int]]:
+    """``(body words gained, errors)`` by going on from ``i, p`` over up to *most* changed, dropped or added words."""
+    best: dict[int, int] = {}
     for di, dp in ((1, 1), (1, 0), (0, 1)):
+        if di == dp and 0 <= i < len(body) and 0 <= p < len(words) and _other_answer(body[i : i + 1], words[p : p + 1]):
+            continue
         a, b, n = i + step * di, p + step * dp, 0
         while 0 <= a < len(body) and 0 <= b < len(words) and body[a] == words[b]:
             n, a, b = n + 1, a + step, b + step
         if n:
-            best = max(best, n + di)
-    return best
-
-
-def longest_leak(words: list[str], item: Item, width: int = WIDTH, one_in: int = ONE_IN) -> tuple[int, int] | None:
+            best[1] = max(best.get(1, 0), n + di)
+            if most > 1:
+                for gain, errors in _beyond(words, body, a, b, step, most - 1):
+                    best[errors + 1] = max(best.get(errors + 1, 0), n + di + gain)
+    return [(gain, errors) for errors, gain in best.items()]
+
+
+def _distance(a: list[str], b: list[str]) -> int:
+    """Changed, dropped and added words between two short stretches."""
+    if not a or not b:
+        return len(a) + len(b)
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def longest_leak(words: list[str], item: Item, width: int = WIDTH, one_in: int = ONE_IN, gap: int = 12) -> tuple[int, int] | None:
     """``(body words, errors)`` of the longest stretch of at least *width* consecutive words of the item that stands in
-    *words* with at most one word in *one_in* changed, dropped or added; None if there is none."""
-    runs, body, best = _runs(words, item), item.words, None
-
-    def offer(length: int, errors: int) -> None:
-        nonlocal best
-        if length >= width and errors * one_in <= length and (best is None or length > best[0]):
-            best = (length, errors)
+    *words* with at most one word in *one_in* changed, dropped or added; None if there is none.
 
+    Common stretches of three words or more are chained over gaps of at most *gap* words, whose errors are their edit
+    distance; at both ends the stretch goes on over up to two errors. A gap in which the text states other figures than
+    the item is no error but another content, and ends the stretch.
+    """
+    runs, body, best = _runs(words, item), item.words, None
     for k, (i0, p0, n0) in enumerate(runs):
-        left = _beyond(words, body, i0 - 1, p0 - 1, -1)
-        i, p, errors = i0 + n0, p0 + n0, 0
-        at = k
+        left = None
+        i, p, errors, at = i0 + n0, p0 + n0, 0, k
         while True:
-            right = _beyond(words, body, i, p, 1)
             length = i - i0
-            offer(length, errors)
-            if left:
-                offer(length + left, errors + 1)
-            if right:
-                offer(length + right, errors + 1)
-                if left:
-                    offer(length + left + right, errors + 2)
-            # the next stretch with the fewest words lost in between
+            if errors * one_in <= length + width:
+                if left is None:
+                    left = [(0, 0), *_beyond(words, body, i0 - 1, p0 - 1, -1)]
+                for gain_r, err_r in [(0, 0), *_beyond(words, body, i, p, 1)]:
+                    for gain_l, err_l in left:
+                        n, e = length + gain_l + gain_r, errors + err_l + err_r
+                        if n >= width and e * one_in <= n and (best is None or n > best[0]):
+                            best = (n, e)
             nxt = None
             for m in range(at + 1, len(runs)):
-                gap = max(runs[m][0] - i, runs[m][1] - p)
-                lap = max(i - runs[m][0], p - runs[m][1], 0)
-                if lap < runs[m][2] and (nxt is None or max(gap, 0) + lap < nxt[0]) and runs[m][0] + runs[m][2] > i and runs[m][1] + runs[m][2] > p:
-                    shift = abs((runs[m][0] - runs[m][1]) - (i - p))
-                    nxt = (max(gap + lap, shift, 1), m, lap)
-            if nxt is None or nxt[0] > 4:
+                a, b, n = runs[m]
+                if a - i > gap:
+                    break
+                lap = max(i - a, p - b, 0)
+                if lap >= n or b + lap - p > gap:
+                    continue
+                if _other_answer(body[i : a + lap], words[p : b + lap]):
+                    continue
+                cost = _distance(body[i : a + lap], words[p : b + lap])
+                if nxt is None or cost < nxt[0]:
+                    nxt = (cost, m)
+            if nxt is None or nxt[0] > 3 or (errors + nxt[0]) * one_in > len(body):
                 break
-            errors += nxt[0]
-            at = nxt[1]
+            errors, at = errors + nxt[0], nxt[1]
             i, p = runs[at][0] + runs[at][2], runs[at][1] + runs[at][2]
-            if errors * one_in > len(body):
-                break
     return best
 
 
