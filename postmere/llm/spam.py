@@ -78,8 +78,9 @@ def measure(text: str) -> tuple[str, float, list[tuple]]:
             spoken.update(_FW.get(w, ()))
         langs.update(spoken)
         total += len(words)
-        if piece not in seen:  # repeated history says nothing about stuffing
-            seen.add(piece)
+        said = " ".join(words)
+        if said not in seen:  # repeated history says nothing about stuffing
+            seen.add(said)
             pairs.update((a, b) for a, b in zip(words, words[1:], strict=False) if not (a in _FW and b in _FW) and not (a[0].isdigit() and b[0].isdigit()))
         parts.append((piece, linked, tagged, codes, words, spoken))
     lang = min(langs, key=lambda k: (-langs[k], k)) if langs else ""
