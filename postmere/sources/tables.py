@@ -38,7 +38,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write *df* to the shared folder and read it back: cuts lineage, survives the loss of executors."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
