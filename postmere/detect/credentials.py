@@ -6,9 +6,11 @@ import re
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from postmere.sources.tables import ship_package
+
 # The patterns of credential kinds; the same in Java, RE2 and Python.
 RULES = {
     "private_key": r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY-----",
@@ -77,6 +79,7 @@ def redact_text(text: str, extra: Iterable[Span] = ()) -> tuple[str, dict[str, i
 
 def redact(text: Column) -> Column:
     """Struct ``text, counts`` of :func:`redact_text`, in Arrow batches; NULL text stays NULL."""
+    ship_package(SparkSession.active())
 
     @F.pandas_udf("struct<text: string, counts: map<string,int>>")
     def run(texts: pd.Series) -> pd.DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from postmere.detect import credentials
 from postmere.functions import text as tx
 from postmere.functions.classify import classify
-from postmere.operators import messageid, metrics, projection
+from postmere.operators import envelope, messageid, metrics, projection
 from postmere.plans import engine, served
 from postmere.plans.spec import PRESETS, Spec
 from postmere.sources.tables import table
@@ -149,7 +149,13 @@ add("source_eligibility", lambda s, d: table(s, d, "records").groupBy("source").
     "SELECT r.source, count(*) AS n, coalesce(any_value(l.enrichable), false) AS enrichable FROM records r LEFT JOIN source_list l ON l.source = r.source GROUP BY r.source")
 
 # Detection, classification, text functions.
-add("classify_records", lambda s, d: table(s, d, "records").select(classify(F.col("kind"), F.col("headers"), F.col("from_addr")).alias("c")).groupBy("c.label").agg(F.count("*").alias("n")))
+_HEADER = "lower(coalesce(list_filter(map_entries(headers), lambda e: lower(e.key) = '{}')[1].value, ''))"
+_ESP = "mailchimp|sendgrid|mailgun|sparkpost|amazonses|sendinblue|constantcontact|hubspot|klaviyo|mailjet"
+add("classify_records", lambda s, d: table(s, d, "records").select(classify(F.col("kind"), F.col("headers"), F.col("from_addr")).alias("c")).groupBy("c.label").agg(F.count("*").alias("n")),
+    f"""WITH h AS (SELECT kind, lower(coalesce(from_addr, '')) AS f, {_HEADER.format('list-unsubscribe')} AS u, {_HEADER.format('precedence')} AS p, {_HEADER.format('auto-submitted')} AS a FROM records)
+SELECT CASE WHEN kind IS DISTINCT FROM 'email' THEN 'document' WHEN u <> '' AND (p IN ('bulk', 'list', 'junk') OR regexp_matches(f, '{_ESP}') OR regexp_matches(u, '{_ESP}')) THEN 'promotional' WHEN u <> '' THEN 'newsletter'
+ WHEN a NOT IN ('', 'no') THEN 'notification' WHEN p = 'bulk' THEN 'bulk' ELSE 'personal' END AS label, count(*) AS n FROM h GROUP BY 1""")
+add("flagged_messages", lambda s, d: held(s, d).select("id", envelope.flags(F.col("one_line"), F.col("action_summary"), F.col("sender_domain")).alias("flags")).filter(F.size("flags") > 0).select("id"))
 add("sender_domains", lambda s, d: table(s, d, "records").groupBy(tx.sender_domain(F.col("from_addr")).alias("sender_domain")).agg(F.count("*").alias("n")),
     "SELECT CASE WHEN contains(from_addr, '@') THEN nullif(lower(trim(regexp_replace(trim(regexp_extract(from_addr, '@([^@]*)$', 1)), '>+$', ''))), '') END AS sender_domain, count(*) AS n FROM records GROUP BY 1")
 _COUNT_SQL = ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {n}" for n, p in credentials.RULES.items())
