@@ -323,4 +323,6 @@ def _search_block(texts: DataFrame, items: list[Item], width: int, one_in: int,
                         out.append((i, known[k].item_id, *got))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "words", "errors"])
 
-    return materialize(spans.mapInPandas(search, "doc_id bigint, item_id bigint, words int, errors int"), "leaks")
+    # few small files, much work: spread over the cluster, whatever their number
+    spread = spans.repartition(max(48, 4 * spark.sparkContext.defaultParallelism))
+    return materialize(spread.mapInPandas(search, "doc_id bigint, item_id bigint, words int, errors int"), "leaks")
