@@ -102,6 +102,16 @@ def test_unmarked_history_is_found_by_its_sentences(spark):
     assert {r["delivery_id"]: r["content"] for r in quoting.new_text(rows).collect()}[2] == "Thanks, I will look at it on Friday and call the board."
 
 
+def test_boilerplate_is_what_recurs_under_a_senders_mails(spark):
+    said = ["The boat leaves at noon tomorrow.", "We paid the roofer last week already.", "Who has the key to the shed now?", "My train was late again this morning.", "Bring two folding chairs on Sunday please."]
+    foot = "Our heron desk never asks anybody for passwords.\nRoom {} of the old mill, second floor left, beside the tall green door and the long wooden stairs."
+    mails = [{"id": k, "content": f"Hi Noor,\n{x}\n\n{foot.format(k + 20)}", "from": "Cai <cai@x.example>"} for k, x in enumerate(said)]
+    once = [{"id": 10 + k, "content": f"{x}\n\n{foot.format(k)}", "from": f"Cai <cai{k}@x.example>"} for k, x in enumerate(said)]
+    copies = [{"id": 20 + k, "content": said[0] + "\nOnly one message says this here.", "uid": "same", "from": "Bo <bo@x.example>"} for k in range(5)]
+    alike = [{"id": 30 + k, "content": "Nothing is left to do today.", "from": "job@x.example"} for k in range(4)]
+    assert old(spark, [*mails, *once, *copies, *alike]) == {k: {3, 4} for k in range(5)}
+
+
 # Personal information
 
 M = "id string, one_line string, action_summary string, synced_at timestamp, text string"
