@@ -3,7 +3,9 @@
 A page is cut into lines, long lines into sentences, and each piece is measured: the share of function words, of the
 page's own most frequent word pairs, of links, hashtags, product codes and numbers. Pieces that say something are
 those with the function words of a language; how many that are at least is calibrated on all documents of that
-language. A page is spam if more than half of its characters stand in pieces that don't.
+language. Neighbouring short lines are judged as one piece. Two shares are of the whole page, that of repeated lines and
+that of its most frequent words; from where on they count is calibrated by language on the pages that say something. A
+page is spam if more than half of its characters stand in pieces that don't.
 """
 
 from __future__ import annotations
@@ -55,14 +57,31 @@ def pieces(text: str) -> list[str]:
     return out
 
 
-def measure(text: str) -> tuple[str, float, list[tuple]]:
-    """Language by function words, their share in the text, and for each piece: its language, characters, words, share
+#: Words of a line that is judged with its neighbours; words that a page is counted to be dominated by.
+SHORT, TOP = 8, 5
+
+
+def _share(spoken: Counter[str], n: int, lang: str) -> tuple[str, float]:
+    """The language of a piece of *n* words and the share of its function words."""
+    speech = min(spoken, key=lambda k: (-spoken[k], k)) if spoken else lang
+    return speech, spoken[speech] / n if n else 0.0
+
+
+def measure(text: str) -> tuple[str, float, float, float, list[tuple]]:
+    """Language by function words, their share in the text, the share of repeated lines in its characters and of its most
+    frequent other words in its words, and for each piece: its language, characters, words, share
     of function words in that language, share of link characters, of hashtag characters, codes, whether it is an entry of a list, share of words
-    in the page's most frequent pairs, separators per word."""
+    in the page's most frequent pairs, separators per word, how often it stands in the page, words and share of function
+    words of the run of short lines that it belongs to.
+
+    A repeated line that has function words is repeated history, which says nothing about stuffing: it counts once.
+    """
     parts = []
     langs: Counter[str] = Counter()
     pairs: Counter[tuple[str, str]] = Counter()
-    seen, total = set(), 0
+    singles: Counter[str] = Counter()
+    copies: Counter[str] = Counter()
+    total = said_words = 0
     for piece in pieces(text):
         bare = _ANCHOR.sub(" ", piece)
         linked = len(piece) - len(bare)
@@ -79,42 +98,58 @@ def measure(text: str) -> tuple[str, float, list[tuple]]:
         langs.update(spoken)
         total += len(words)
         said = " ".join(words)
-        if said not in seen:  # repeated history says nothing about stuffing
-            seen.add(said)
+        copies[said] += 1
+        if copies[said] == 1 or not spoken:
+            said_words += len(words)
+            singles.update(w for w in words if w not in _FW and not w[0].isdigit())
             pairs.update((a, b) for a, b in zip(words, words[1:], strict=False) if not (a in _FW and b in _FW) and not (a[0].isdigit() and b[0].isdigit()))
-        parts.append((piece, linked, tagged, codes, words, spoken))
+        parts.append((piece, linked, tagged, codes, words, spoken, said))
     lang = min(langs, key=lambda k: (-langs[k], k)) if langs else ""
-    top = {p for p, n in pairs.most_common(12) if n >= max(4, 0.015 * total)}
+    top = {p for p, n in pairs.items() if n >= max(4, 0.015 * total)}
     out, known = [], langs[lang] if lang else 0
-    for piece, linked, tagged, codes, words, spoken in parts:
+    entries = [bool(_ENTRY.match(x[0])) for x in parts]
+    runs: list[tuple[int, float]] = [(0, 0.0)] * len(parts)
+    k = 0
+    while k < len(parts):
+        end = k
+        while end < len(parts) and len(parts[end][4]) < SHORT and not entries[end]:
+            end += 1
+        if end > k:
+            spoken, n = sum((x[5] for x in parts[k:end]), Counter()), sum(len(x[4]) for x in parts[k:end])
+            runs[k:end] = [(n, _share(spoken, n, lang)[1])] * (end - k)
+        k = max(end, k + 1)
+    repeated = 0
+    for (piece, linked, tagged, codes, words, spoken, said), entry, (run, run_fw) in zip(parts, entries, runs, strict=True):
         n = len(words)
-        speech = min(spoken, key=lambda k: (-spoken[k], k)) if spoken else lang
-        fw = spoken[speech]
+        speech, fw = _share(spoken, n, lang)
+        if said and copies[said] > 1 and not spoken:
+            repeated += len(piece)
         covered = set()
         for k, p in enumerate(zip(words, words[1:], strict=False)):
             if p in top:
                 covered |= {k, k + 1}
         size = max(1, len(piece))
-        out.append((speech, float(len(piece)), float(n), fw / n if n else 0.0, linked / size, tagged / size, float(codes), float(bool(_ENTRY.match(piece))), len(covered) / n if n else 0.0, len(SEPARATORS.findall(piece)) / max(1, n)))
-    return lang, known / total if total else 0.0, out
+        out.append((speech, float(len(piece)), float(n), fw, linked / size, tagged / size, float(codes), float(entry), len(covered) / n if n else 0.0, len(SEPARATORS.findall(piece)) / max(1, n), float(copies[said]) if said else 1.0, float(run), run_fw))
+    frequent = sum(c for _, c in singles.most_common(TOP) if c >= 4)
+    return lang, known / total if total else 0.0, repeated / max(1, sum(len(x[0]) for x in parts)), frequent / max(1, said_words), out
 
 
-NAMES = ("lang", "chars", "words", "fw", "link", "tags", "codes", "entry", "pairs", "seps")
+NAMES = ("lang", "chars", "words", "fw", "link", "tags", "codes", "entry", "pairs", "seps", "copies", "run", "run_fw")
 
 
 def features(documents: DataFrame) -> DataFrame:
-    """``doc_id, lang, fw, pieces``: the measures of each document with a text."""
+    """``doc_id, lang, fw, dup, top, pieces``: the measures of each document with a text."""
     ship_package(documents.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [measure(t) for t in pdf["text"]]
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "lang": [r[0] for r in rows], "fw": [r[1] for r in rows],
-                "pieces": [[dict(zip(NAMES, p, strict=True)) for p in r[2]] for r in rows],
+                "doc_id": pdf["doc_id"], "lang": [r[0] for r in rows], "fw": [r[1] for r in rows], "dup": [r[2] for r in rows], "top": [r[3] for r in rows],
+                "pieces": [[dict(zip(NAMES, p, strict=True)) for p in r[4]] for r in rows],
             })
 
-    schema = "doc_id bigint, lang string, fw double, pieces array<struct<" + ", ".join(f"{n}: {'string' if n == 'lang' else 'double'}" for n in NAMES) + ">>"
+    schema = "doc_id bigint, lang string, fw double, dup double, top double, pieces array<struct<" + ", ".join(f"{n}: {'string' if n == 'lang' else 'double'}" for n in NAMES) + ">>"
     return documents.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(run, schema)
 
 
@@ -126,8 +161,25 @@ def calibrate(feats: DataFrame, part: float = 0.25, least: float = 0.06) -> dict
     return {r["lang"]: r["floor"] for r in rows}
 
 
-def spam_share(piece, floor):
-    """Characters of a piece that count as spam: all or none."""
+#: Least shares of repeated lines and of frequent words that count, and what counts in pages of no known language.
+LEAST_DUP, LEAST_TOP = 0.3, 0.3
+
+
+def calibrate_pages(feats: DataFrame, floors: dict[str, float], at: float = 0.99) -> dict[str, tuple[float, float]]:
+    """For each language, from which share of repeated lines and of frequent words on a page counts as dominated by them:
+    what nearly all of its pages that say something stay below. One row a language comes to the driver."""
+    says = feats.filter(F.col("fw") >= F.coalesce(F.try_element_at(_map(floors, 0.06), F.col("lang")), F.lit(0.06)))
+    rows = says.groupBy("lang").agg(*[F.greatest(F.percentile_approx(c, at), F.lit(low)).alias(c) for c, low in (("dup", LEAST_DUP), ("top", LEAST_TOP))]).collect()
+    return {r["lang"]: (r["dup"], r["top"]) for r in rows}
+
+
+def _map(values: dict[str, float], default: float):
+    return F.create_map(*[F.lit(v) for kv in (values or {"": default}).items() for v in kv])
+
+
+def spam_share(piece, floor, repeats, dominated):
+    """Characters of a piece that count as spam: all or none. *repeats*, *dominated*: whether the page is one of repeated
+    lines, or of a few words."""
     p = lambda n: piece[n]
     empty = p("fw") < floor
     list_of_links = (p("link") >= 0.6) | ((p("link") >= 0.2) & (empty | (p("words") <= 6)))
@@ -136,7 +188,10 @@ def spam_share(piece, floor):
     run = empty & (p("words") >= 8) & (p("entry") == 0)
     strung = empty & (p("seps") >= 0.25) & (p("words") >= 5) & (p("entry") == 0)
     stuffed = (p("pairs") >= 0.3) & (p("words") >= 4) & ((p("entry") == 0) | (p("pairs") >= 0.6))
-    return F.when(list_of_links | tags | product | run | strung | stuffed, p("chars")).otherwise(0.0)
+    short = (p("run_fw") < floor) & (p("run") >= SHORT)
+    listed = short & ((p("pairs") >= 0.3) | dominated)
+    again = repeats & empty & (p("copies") > 1)
+    return F.when(list_of_links | tags | product | run | strung | stuffed | listed | again, p("chars")).otherwise(0.0)
 
 
 def score_pages(documents: DataFrame) -> DataFrame:
@@ -148,8 +203,11 @@ def score_pages(documents: DataFrame) -> DataFrame:
     """
     feats = materialize(features(documents), "pages")
     floors = calibrate(feats)
-    floor = lambda x: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in (floors or {"": 0.06}).items() for v in kv]), x["lang"]), F.lit(0.06))
+    floor = lambda x: F.coalesce(F.try_element_at(_map(floors, 0.06), x["lang"]), F.lit(0.06))
+    cuts = calibrate_pages(feats, floors)
+    over = lambda c, k, low: F.col(c) >= F.coalesce(F.try_element_at(_map({x: v[k] for x, v in cuts.items()}, low), F.col("lang")), F.lit(low))
+    repeats, dominated = over("dup", 0, LEAST_DUP), over("top", 1, LEAST_TOP)
     total = F.aggregate("pieces", F.lit(0.0), lambda acc, x: acc + x["chars"])
-    bad = F.aggregate(F.transform("pieces", lambda x: spam_share(x, floor(x))), F.lit(0.0), lambda acc, x: acc + x)
+    bad = F.aggregate(F.transform("pieces", lambda x: spam_share(x, floor(x), repeats, dominated)), F.lit(0.0), lambda acc, x: acc + x)
     rows = feats.select("doc_id", "lang", F.coalesce(F.try_divide(bad, total), F.lit(0.0)).alias("spam_share"))
     return rows.withColumn("is_spam", F.col("spam_share") > 0.5)

@@ -212,3 +212,17 @@ def test_spam_pages(spark):
     got = {r["doc_id"] for r in spam.score_pages(docs).filter("is_spam").collect()}
     assert got == {1, 2, 3, 4}
     assert spam.score_pages(docs.limit(0)).collect() == []
+
+
+def test_pages_of_repeated_or_few_words_in_short_lines(spark):
+    prose = "The people at the club promised an answer by Friday, yet nothing has come so far. We looked at the boat again and think that it should wait until May. "
+    towns = ["oslo", "bergen", "paris", "lyon", "madrid", "berlin", "krakow", "moscow"]
+    rotating = [f"{a} {b}" for a in ("cheap", "best", "last", "city") for b in ("flights", "hotels", "breaks", "deals", "tours")]
+    rows = [
+        (1, "\n".join(["buy cheap viagra"] * 200)), (2, "\n".join(f"cheap flights {t}" for t in towns * 3)), (3, "\n".join(["flights", "hotels", "insurance", "mortgage"] * 20)), (4, "\n".join(rotating * 10)),
+        (5, "\n".join(["> " * k + line for k in range(4) for line in ("Hi all", "The boat leaves at noon.", "Best regards", "Noor")]) + prose), (6, "\n".join(["Milk", "Rye bread", "Butter", "Apples", "Oat flakes", "Coffee", "Tea", "Salt", "Candles", "Soap", "Matches", "Eggs"])),
+        *[(10 + k, prose * 4) for k in range(4)],
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"] for r in spam.score_pages(docs).filter("is_spam").collect()}
+    assert got == {1, 2, 3, 4}
