@@ -136,6 +136,21 @@ def test_repeated_values_share_their_label():
     assert pii.find_spans("was 997799-1234", lexicon) == []
 
 
+def test_messages_run_without_a_doubtful_node():
+    lexicon = pii.Lexicon(set())
+    text = "Tel: +47 91 23 45 67\nthen 91 23 45 67 it was\n> Tel: +47 91 23 45 67"
+    assert [t for _, _, t in pii.find_spans(text, lexicon)] == ["phone"] * 3
+    assert pii.find_spans("then 91 23 45 67 it was", lexicon) == []
+
+
+def test_parts_left_out_of_the_field_keep_their_labels():
+    rng = random.Random(6)
+    for _ in range(300):
+        scores = [{"name": rng.choice([-2.5, -0.4, 1.0, 2.2])} if rng.random() < 0.8 else {"phone": rng.uniform(-3, 3), "national_id": rng.uniform(-3, 3)} for _ in range(6)]
+        edges = [(a, a + 1, rng.choice([pii.CHAIN, pii.SKIP])) for a in range(5) if rng.random() < 0.5]
+        assert pii._labels(scores, edges) == pii._settle(scores, edges)
+
+
 # Leaks
 
 BODY = "According to ledger 2196, 2533 oak casks were swapped with great care for 1330 linen sacks near Brackwater at 10:03 while the kite judge of Ystgard counted 1389 russet crates and kept copy 1065 for Oddervik"
