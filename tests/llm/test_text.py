@@ -136,6 +136,17 @@ def test_repeated_values_share_their_label():
     assert pii.find_spans("was 997799-1234", lexicon) == []
 
 
+def test_names_of_people_who_never_send(spark):
+    lexicon = pii.Lexicon(set(), {pii._place("heron")})
+    text = "Dear Olena,\nthe meeting with Olena Petrova is on Monday. Bring Mr Brandt along.\nPetrova knows the Report.\n\nKind regards\nBo"
+    assert [text[a:b] for a, b, _ in pii.find_spans(text, lexicon)] == ["Olena", "Olena", "Petrova", "Brandt", "Petrova", "Bo"]
+    assert pii.find_spans("Dear Customer,\nThe Report is in the Annex. Monday is Fine.\n\nKind regards\nHeron Works", lexicon) == []
+    assert [t for _, _, t in pii.find_spans("Dear Heron,\nthanks", lexicon)] == ["name"]
+    rows = records(spark, [{"id": 1, "content": "Meet Tikhon at noon and Li after that", "from": "tikhon.okonedu@x.example"}, {"id": 2, "content": "x", "from": "Li Ro <li@x.example>"}])
+    messages = spark.createDataFrame([], M)
+    assert {r["redacted"] for r in pii.find_personal(rows, messages, with_text=True).collect()} == {"Meet [NAME] at noon and [NAME] after that", "x"}
+
+
 def test_messages_run_without_a_doubtful_node():
     lexicon = pii.Lexicon(set())
     text = "Tel: +47 91 23 45 67\nthen 91 23 45 67 it was\n> Tel: +47 91 23 45 67"
