@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import zoneinfo
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmere.functions.timestamps import literal_map, one_of, parse_fields, where_known, with_instant
-from postmere.sources.tables import canonical
+from postmere.sources.tables import canonical, materialize
 
 ZONES = sorted(z for z in zoneinfo.available_timezones() if "/" in z)
-#: Candidate histories for a source that declares none, besides those that other sources declare.
+#: Zones by which a history is named before others that equal it.
 CANDIDATES = ("UTC", "Europe/London", "Europe/Oslo", "Asia/Kolkata", "Australia/Sydney", "America/New_York", "America/Los_Angeles")
 
 
@@ -26,6 +30,39 @@ def abbreviations(zone: str) -> dict[str, int]:
     return out
 
 
+@functools.cache
+def history(zone: str, first: int = 1970, last: int = 2038) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """The wall times (seconds) from which on a zone's offsets hold, and these offsets in seconds.
+
+    A wall time that occurs twice or is skipped has the offset before the change, so an offset holds from the later of
+    the two wall times of its change on: the rule of ``to_utc_timestamp``.
+    """
+    info, epoch = zoneinfo.ZoneInfo(zone), dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
+    offset = lambda t: int((epoch + dt.timedelta(seconds=t)).astimezone(info).utcoffset().total_seconds())
+    lo, hi = (int(dt.datetime(y, 1, 1, tzinfo=dt.UTC).timestamp()) for y in (first, last))
+    starts, offsets = [-(1 << 62)], [offset(lo)]
+    for t in range(lo, hi, 7 * 86400):
+        if offset(t + 7 * 86400) == offsets[-1]:
+            continue
+        a, b = t, t + 7 * 86400
+        while b - a > 1:
+            mid = (a + b) // 2
+            a, b = (mid, b) if offset(mid) == offsets[-1] else (a, mid)
+        starts.append(b + max(offsets[-1], offset(b)))
+        offsets.append(offset(b))
+    return tuple(starts), tuple(offsets)
+
+
+def distinct_histories(spark, preferred: list[str]) -> list[str]:
+    """A zone for each distinct offset history of the tz database since 1970, the *preferred* and common names first."""
+    known = set(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
+    named = dict.fromkeys(z for z in [*CANDIDATES, *preferred, *ZONES] if z in known)
+    first: dict[tuple, str] = {}
+    for z in named:
+        first.setdefault(history(z), z)
+    return list(first.values())
+
+
 def _fields(records: DataFrame) -> DataFrame:
     return records.select(F.col("delivery_id"), F.coalesce(canonical(F.col("source")), F.lit("")).alias("_src"), F.col("delivered_at").alias("_arrived"), where_known(parse_fields(F.col("sent_at"))).alias("_f"))
 
@@ -50,25 +87,39 @@ def zone_scores(fields: DataFrame, candidates: list[str], slack_s: int = 120) ->
     A value read in the right zone lies before its delivery, and shortly before it. ``violations`` counts values
     that would have been sent after their delivery (by more than *slack_s*), ``lag`` sums the hours by which the
     others lie before it, each cut at 12 so that truly late deliveries, which fit every zone alike, don't decide;
-    ``n`` counts the values that are possible dates in that order. Both day orders are tried, as a source's order is unknown too. One aggregation, pre-aggregated on the map side;
-    its result has one row per source, candidate and order, whatever the number of records.
+    ``n`` counts the values that are possible dates in that order. Both day orders are tried, as a source's order is unknown too.
+    Each value's wall time is parsed once an order, and all candidates are read off their tables of offsets. Sums of a batch
+    are added up in one aggregation; its result has one row per source, candidate and order, whatever the number of records.
     """
     no_own = F.create_map(F.lit(""), F.lit(0))
-    tries = F.explode(F.array(*[F.struct(F.lit(z).alias("zone"), F.lit(o).alias("order")) for z in candidates for o in ("dmy", "mdy")]))
-    rows = _zoneless(fields).filter(F.col("_arrived").isNotNull()).withColumn("_t", tries)
-    rows = rows.select("_src", "_arrived", "_f", F.col("_t.zone").alias("zone"), F.col("_t.order").alias("order"))
-    rows = with_instant(rows, "_f", F.col("zone"), F.col("order"), no_own, ZONES, "_sent")
-    rows = rows.withColumn("_lag", (F.unix_micros("_arrived") - F.col("_sent")) / 3.6e9)
-    return rows.groupBy("_src", "zone", "order").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("_lag") < -slack_s / 3600).alias("violations"),
-        F.sum(F.least(F.greatest(F.col("_lag"), F.lit(0.0)), F.lit(12.0))).alias("lag"),
-    )
+    rows = _zoneless(fields).filter(F.col("_arrived").isNotNull()).withColumn("order", F.explode(F.array(F.lit("dmy"), F.lit("mdy"))))
+    rows = with_instant(rows.select("_src", "_arrived", "_f", "order"), "_f", F.lit("UTC"), F.col("order"), no_own, ZONES, "_wall")
+    rows = rows.select("_src", "order", F.unix_micros("_arrived").alias("_arrived"), "_wall")
+    tables = [history(z) for z in candidates]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = [(np.array(t, dtype=np.int64), np.array(o, dtype=np.int64)) for t, o in tables]
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys, groups = pd.factorize(pd.MultiIndex.from_frame(pdf[["_src", "order"]]))
+            wall, arrived = pdf["_wall"].to_numpy(dtype=np.int64), pdf["_arrived"].to_numpy(dtype=np.int64)
+            seconds, n = wall // 1_000_000, np.bincount(keys)
+            for rank, (zone, (starts, offsets)) in enumerate(zip(candidates, known, strict=True)):
+                lag = (arrived - wall + offsets[np.searchsorted(starts, seconds, side="right") - 1] * 1_000_000) / 3.6e9
+                yield pd.DataFrame({
+                    "_src": [g[0] for g in groups], "zone": zone, "order": [g[1] for g in groups], "rank": rank, "n": n,
+                    "violations": np.bincount(keys, lag < -slack_s / 3600).astype(np.int64), "lag": np.bincount(keys, np.clip(lag, 0.0, 12.0)),
+                })
+
+    sums = rows.mapInPandas(run, "_src string, zone string, order string, rank int, n bigint, violations bigint, lag double")
+    return sums.groupBy("_src", "zone", "order", "rank").agg(F.sum("n").alias("n"), F.sum("violations").alias("violations"), F.sum("lag").alias("lag"))
 
 
 def estimate_zones(fields: DataFrame, candidates: list[str]) -> DataFrame:
-    """The history that most values of a source keep, of equals that with the least lag."""
-    best = F.min_by(F.struct("zone", "order"), F.struct(F.col("violations") - F.col("n"), "lag", "zone", "order"))
+    """The history with the least lag in all, of equals the first candidate. A violation or an impossible date costs the
+    12 hours at which lags are cut, so that a single wrong clock doesn't outweigh the lag of all other values."""
+    best = F.min_by(F.struct("zone", "order"), F.struct(F.round((F.col("violations") - F.col("n")) * 12 + F.col("lag"), 6), "rank", "order"))
     return zone_scores(fields, candidates).groupBy("_src").agg(best.alias("_b")).select("_src", F.col("_b.zone").alias("_zone"), F.col("_b.order").alias("_order"))
 
 
@@ -77,7 +128,7 @@ def normalize_timestamps(records: DataFrame, sources: DataFrame, max_sources: in
 
     Zone and day order of values without them are those that the source list declares; for sources that it
     doesn't list they are estimated from the alignment of local times with ingestion times
-    (:func:`estimate_zones`). Null, empty, impossible or unreadable values and bare days give no row. A null or
+    (:func:`estimate_zones`), among all distinct offset histories of the tz database. Null, empty, impossible or unreadable values and bare days give no row. A null or
     unknown source counts as one undeclared source; without any delivery time to align with it is read as UTC,
     day first. Repeated rows give repeated results; other columns are ignored. The zones are broadcast while
     the list has at most *max_sources* rows, and joined otherwise.
@@ -90,9 +141,9 @@ def normalize_timestamps(records: DataFrame, sources: DataFrame, max_sources: in
     hint = F.broadcast if small else (lambda x: x)
     known = hint(declared)
     unknown = fields.join(known, "_src", "left_anti")
-    guessed = estimate_zones(unknown, sorted({*CANDIDATES, *zones}))
+    guessed = materialize(estimate_zones(unknown, distinct_histories(records.sparkSession, zones)), "zones")
     every = hint(declared.unionByName(guessed))
-    own = _own_map(sorted({*zones, *CANDIDATES}))
+    own = _own_map(sorted({*zones, *CANDIDATES, *(r[0] for r in guessed.select("_zone").distinct().collect())}))
     joined = fields.join(every, "_src", "left")
     zone = F.coalesce("_zone", F.lit("UTC"))
     done = with_instant(joined, "_f", zone, F.coalesce("_order", F.lit("dmy")), F.try_element_at(own, zone), ZONES, "sent_us")

@@ -18,7 +18,7 @@ def p4_zones(spark: SparkSession, d: str) -> DataFrame:
     """For each source, the history that its local times fit best when aligned with ingestion, and the declared one."""
     fields = timestamps._fields(table(spark, d, "records"))
     declared = timestamps.declared_zones(table(spark, d, "source_list"))
-    guess = timestamps.estimate_zones(fields, list(timestamps.CANDIDATES)).select("_src", F.col("_zone").alias("estimated_zone"), F.col("_order").alias("estimated_order"))
+    guess = timestamps.estimate_zones(fields, timestamps.distinct_histories(spark, [])).select("_src", F.col("_zone").alias("estimated_zone"), F.col("_order").alias("estimated_order"))
     both = guess.join(declared, "_src", "left")
     return both.select(F.col("_src").alias("source"), "estimated_zone", "estimated_order", F.col("_zone").alias("declared_zone"), F.col("_order").alias("declared_order"))
 

@@ -53,6 +53,18 @@ def test_zones_are_estimated_from_ingestion(spark):
     assert [(r["_src"], r["_zone"], r["_order"]) for r in best] == [("new", "Asia/Kolkata", "dmy")]
 
 
+@pytest.mark.parametrize("name", ["Asia/Tokyo", "America/Sao_Paulo", "America/Chicago", "Asia/Kathmandu"])
+def test_unlisted_sources_of_any_zone(spark, name):
+    zone, data = zoneinfo.ZoneInfo(name), []
+    for k in range(48):
+        sent = dt.datetime(2024, 1 + k % 12, 3 + k // 2, 9, 5 * (k % 12), tzinfo=dt.UTC)
+        data.append((k, "elsewhere", sent.astimezone(zone).strftime("%Y-%m-%d %H:%M"), sent + dt.timedelta(minutes=1 + k % 7)))
+    rows = spark.createDataFrame(data, "delivery_id bigint, source string, sent_at string, delivered_at timestamp")
+    sources = spark.createDataFrame(SOURCES, "source string, time_zone string, date_order string")
+    got = {r["delivery_id"]: r["sent_us"] for r in normalize_timestamps(rows, sources).collect()}
+    assert got == {k: us(text, name) for k, _, text, _ in data}
+
+
 D = "delivery_id bigint, delivered_at timestamp, source string, source_uid string, thread_id string, extra string"
 DELIVERIES = [
     (1, "gmail:p", "18c2f4a9b0d1e7f3", None), (2, "Gmail:p ", "\t18C2F4A9B0D1E7F3", "t"), (3, "imap:w", "INBOX:1:7", "<m1@x>"), (4, "imap:w", "INBOX:01:007", None), (5, "imap:w", "Archive:2:9", "m1@x "), (6, "imap:w", "Archive:2:9", "<m2@x>"),
