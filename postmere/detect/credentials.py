@@ -1,15 +1,13 @@
-"""Credentials in text: counts with built-in expressions, spans and redaction in Arrow batches."""
+"""Credentials in text: counts with built-in expressions, spans in Python."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postmere.sources.tables import ship_package
+from postmere.detect.spans import Span
 
 # The patterns of credential kinds; the same in Java, RE2 and Python.
 RULES = {
@@ -26,8 +24,8 @@ RULES = {
 }
 _KEY_BLOCK = re.compile(RULES["private_key"] + r".*?-----END (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY-----", re.S)
 _COMPILED = {name: re.compile(p) for name, p in RULES.items()}
-
-Span = tuple[int, int, str, str]
+#: What each rule needs somewhere in the text: a cheap look before the patterns.
+_NEEDLES = ("-----BEGIN", "AKIA", "ASIA", "AGPA", "AIDA", "AROA", "AIPA", "ANPA", "ANVA", "gh", "xox", "hooks.slack", "AIza", "sk_live_", "T3BlbkFJ", "eyJ")
 
 
 def counts(text: Column) -> Column:
@@ -36,54 +34,14 @@ def counts(text: Column) -> Column:
     return F.map_filter(each, lambda _, n: n > 0)
 
 
-def spans(text: str) -> list[Span]:
-    """``(start, end, kind, "secret")``; a key block counts as a whole."""
-    out = [(m.start(), m.end(), "private_key", "secret") for m in _KEY_BLOCK.finditer(text)]
-    out += [(m.start(), m.end(), name, "secret") for name, p in _COMPILED.items() for m in p.finditer(text)]
-    return sorted(set(out))
-
-
-def leftmost(found: Iterable[Span]) -> list[Span]:
-    """Spans without overlaps: the leftmost first, of those the longest, of those secrets."""
-    kept, end = [], 0
-    for s in sorted(found, key=lambda s: (s[0], -s[1], s[3] != "secret", s[2])):
-        if s[0] >= end:
-            kept.append(s)
-            end = s[1]
-    return kept
-
-
-def strictest(found: Iterable[Span]) -> list[Span]:
-    """Secrets whole, then the parts of other spans that no earlier one covers: together exactly their union."""
-    kept: list[Span] = []
-    for s in sorted(found, key=lambda s: (s[3] != "secret", s[0], -s[1], s[2])):
-        parts = [(s[0], s[1])]
-        for a, b, _, _ in kept:
-            parts = [p for x, y in parts for p in ((x, min(y, a)), (max(x, b), y)) if p[0] < p[1]]
-        kept += [(x, y, s[2], s[3]) for x, y in parts]
-    return sorted(kept)
-
-
-def redact_text(text: str, extra: Iterable[Span] = ()) -> tuple[str, dict[str, int]]:
-    """The text with ``[REDACTED:<kind>]`` for each span, and how many spans of each kind were found."""
-    found = leftmost(spans(text))
-    numbers: dict[str, int] = {}
-    for s in [*found, *extra]:
-        numbers[s[2]] = numbers.get(s[2], 0) + 1
-    out, at = [], 0
-    for a, b, kind, _ in strictest([*found, *extra]):
-        out += [text[at:a], f"[REDACTED:{kind}]"]
-        at = b
-    return "".join([*out, text[at:]]), numbers
-
-
-def redact(text: Column) -> Column:
-    """Struct ``text, counts`` of :func:`redact_text`, in Arrow batches; NULL text stays NULL."""
-    ship_package(SparkSession.active())
-
-    @F.pandas_udf("struct<text: string, counts: map<string,int>>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        done = [redact_text(t) if t is not None else (None, {}) for t in texts]
-        return pd.DataFrame({"text": [t for t, _ in done], "counts": [n for _, n in done]})
-
-    return run(text)
+def spans(text: str | None) -> list[Span]:
+    """The credentials of a text; a key block counts as a whole."""
+    if not text or not any(n in text for n in _NEEDLES):
+        return []
+    out = {Span(*m.span(), "private_key", "secret") for m in _KEY_BLOCK.finditer(text)}
+    whole = sorted(out)
+    for name, p in _COMPILED.items():
+        for m in p.finditer(text):
+            if name != "private_key" or not any(w.start == m.start() for w in whole):
+                out.add(Span(*m.span(), name, "secret"))
+    return sorted(out)

@@ -41,11 +41,12 @@ def tidy(text: Column) -> Column:
 
 
 def embed_input(subject: Column, body: Column, words: int = 512, most: int = 2000) -> Column:
-    """The text to embed: links and overlong words out, the first *words* words, cut at *most* characters."""
-    clean = F.regexp_replace(body, r"https?://\S+", " ")
+    """The text to embed: the subject, a blank line and the body's first *words* words without links and overlong words, cut at *most*
+    characters: the input that the embedder takes, a feature of it."""
+    clean = F.regexp_replace(body, r"(?i)(?:https?://|www\.)\S+", " ")
     kept = F.filter(F.split(F.trim(F.regexp_replace(clean, r"\s+", " ")), " "), lambda w: F.length(w).between(1, 64))
-    text = F.array_join(F.slice(kept, 1, words), " ")
-    return F.substring(F.when(F.coalesce(subject, F.lit("")) != "", F.concat(subject, F.lit("\n\n"), text)).otherwise(text), 1, most)
+    text = F.coalesce(F.array_join(F.slice(kept, 1, words), " "), F.lit(""))
+    return F.substring(F.concat(F.coalesce(subject, F.lit("")), F.lit("\n\n"), text), 1, most)
 
 
 def chunks(text: Column, size: int = 512, overlap: int = 64) -> Column:
@@ -68,3 +69,15 @@ def web_link(uri: Column) -> Column:
 
 def digest(col: Column, bits: int = 256, length: int = 16) -> Column:
     return F.substring(F.sha2(col, bits), 1, length)
+
+
+def as_text(value: Column) -> Column:
+    """A trimmed text, NULL if empty."""
+    return F.nullif(F.trim(value), F.lit(""))
+
+
+def name_key(name: Column) -> Column:
+    """A firm's name for comparison: small, ``&`` as and, without punctuation and legal form."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.lower(name), F.lit("&"), F.lit(" and ")), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
+    bare = F.trim(F.regexp_replace(plain, r"\b(inc|ltd|llc|plc|gmbh|corp|corporation|limited|as|ab)$", ""))
+    return F.coalesce(F.nullif(bare, F.lit("")), plain)

@@ -5,33 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmere.sources.tables import materialize, scratch
+from postmere.sources.tables import materialize
 
 
-def component_labels(pairs: DataFrame, rounds: int = 100) -> DataFrame:
+def component_labels(pairs: DataFrame) -> DataFrame:
     """``a, label`` of ``pairs(a, b, label)``: the smallest label of each ``a``'s component.
 
-    Only what can change takes part: pairs whose ``b`` has one ``a`` connect nothing. Each round sends the smallest
-    label over each ``b`` and back to each ``a``, both as aggregations that combine before the shuffle, so no group is
-    ever held by one task; a hot ``b`` costs one partial row a partition. Rounds end when no label changes. Labels of
-    ``a`` values outside the returned rows stay as they are.
+    Only what can change takes part: pairs whose ``b`` has one ``a`` connect nothing. Each ``a`` points at a root, at first
+    itself. A round sends the smallest root over each ``b`` to the roots of its ``a`` values, hooks those roots below it, and
+    then lets every root point at its root's root until nothing moves, so a chain of n takes about log n rounds.
+    All steps are aggregations that combine before the shuffle and joins on single rows, so no group is ever held by one
+    task; a hot ``b`` costs one partial row a partition. Labels of ``a`` values outside the returned rows stay as they are.
     """
-    spark = pairs.sparkSession
     shared = pairs.groupBy("b").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).filter("lo <> hi").select("b")
     edges = materialize(pairs.join(shared, "b", "left_semi").select("a", "b"), "edges")
     if edges.isEmpty():
         return pairs.select("a", "label").limit(0)
-    labels = materialize(pairs.join(edges.select("a").distinct(), "a", "left_semi").groupBy("a").agg(F.min("label").alias("label")), "labels")
-    for _ in range(rounds):
-        over = edges.join(labels, "a").groupBy("b").agg(F.min("label").alias("m"))
-        back = edges.join(over, "b").groupBy("a").agg(F.min("m").alias("m"))
-        path = scratch(spark, "labels")
-        labels.join(back, "a").select("a", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")).write.parquet(path)
-        step = spark.read.parquet(path)
-        moved = step.filter("moved").limit(1).count()
-        labels = step.select("a", "label")
-        if not moved:
+    roots = materialize(edges.select("a").distinct().select("a", F.col("a").alias("root")), "roots")
+    while True:
+        at = edges.join(roots, "a").select("b", "root").distinct()
+        low = at.groupBy("b").agg(F.min("root").alias("low"))
+        hooks = at.join(low, "b").filter("low < root").groupBy("root").agg(F.min("low").alias("to"))
+        hooks = materialize(hooks, "hooks")
+        if hooks.isEmpty():
             break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return labels
+        while True:  # a hook's end may be hooked itself: jump until none is
+            after = hooks.select(F.col("root").alias("to"), F.col("to").alias("end"))
+            step = materialize(hooks.join(after, "to", "left").select("root", F.coalesce("end", "to").alias("to"), F.col("end").isNotNull().alias("moved")), "jump")
+            moved = step.filter("moved").limit(1).count()
+            hooks = step.select("root", "to")
+            if not moved:
+                break
+        roots = materialize(roots.join(hooks, "root", "left").select("a", F.coalesce("to", "root").alias("root")), "roots")
+    own = pairs.join(roots.select("a"), "a", "left_semi").groupBy("a").agg(F.min("label").alias("label")).join(roots, "a")
+    least = own.groupBy("root").agg(F.min("label").alias("label"))
+    return materialize(roots.join(least, "root").select("a", "label"), "labels")

@@ -43,24 +43,41 @@ def bounds(enrichments: DataFrame, runs: DataFrame) -> Bounds:
     return Bounds(upper, policy)
 
 
-def pending(enrichments: DataFrame, messages: DataFrame, at: Bounds) -> DataFrame:
-    """``doc_id, enriched_us, reason``: the documents that the next run must process, up to its upper limit.
+def last_success(runs: DataFrame, policy: str | None) -> int | None:
+    """When the last successful run under the current policy began: commits up to then it should have processed."""
+    same = F.col("policy_hash").eqNullSafe(F.lit(policy))
+    return runs.filter((F.col("status") == "ok") & same).agg(F.max(F.unix_micros("started_at"))).first()[0]
 
-    The commit sequence of a document is its newest ``enriched_at`` and the watermark that of its holding row, for
-    runs that failed wrote some rows and skipped others, and log rows arrive late: one watermark for the whole table
-    would skip or repeat documents. ``reason``: ``new``, ``changed`` or ``policy``. Rows of commits beyond the limit
-    wait for the next run.
-    """
+
+def between(enrichments: DataFrame, low_us: int | None, high_us: int | None) -> DataFrame:
+    """The log's rows with a commit time above *low_us* and up to *high_us*, as comparisons of the column, which reach the scan.
+    Rows without a time belong to the range without a lower end."""
+    at, stamp = F.col("enriched_at"), lambda us: F.timestamp_micros(F.lit(us))
     rows = enrichments
-    if at.upper_us is not None:
-        rows = rows.filter(F.col("enriched_at").isNull() | (F.unix_micros("enriched_at") <= at.upper_us))
-    both = latest_enrichments(rows).join(holding_rows(messages).withColumn("_held", F.lit(True)), "doc_id", "left")
+    if high_us is not None:
+        rows = rows.filter((at <= stamp(high_us)) | (at.isNull() if low_us is None else F.lit(False)))
+    return rows if low_us is None else rows.filter(at > stamp(low_us))
+
+
+def decide(latest: DataFrame, messages: DataFrame, policy: str | None) -> DataFrame:
+    """``doc_id, enriched_us, reason`` of documents with their newest commit: ``new``, ``changed``, ``policy``, or NULL if nothing is to do."""
+    both = latest.join(holding_rows(messages).withColumn("_held", F.lit(True)), "doc_id", "left")
     reason = (
         F.when(F.col("_held").isNull(), "new")
         .when(~F.col("done_us").eqNullSafe(F.col("enriched_us")), "changed")
-        .when(~F.col("done_policy").eqNullSafe(F.lit(at.policy)), "policy")
+        .when(~F.col("done_policy").eqNullSafe(F.lit(policy)), "policy")
     )
-    return both.select("doc_id", "enriched_us", reason.alias("reason")).filter("reason is not null")
+    return both.select("doc_id", "enriched_us", reason.alias("reason"))
+
+
+def pending(enrichments: DataFrame, messages: DataFrame, at: Bounds) -> DataFrame:
+    """``doc_id, enriched_us, reason``: the documents that a run without a watermark must process, up to its upper limit.
+
+    A document's place in the commit sequence is its newest ``enriched_at``; what holds of it is its row in *messages*, for
+    runs that failed wrote some rows and skipped others. ``reason``: ``new``, ``changed`` or ``policy``. Rows of commits beyond the limit
+    wait for the next run.
+    """
+    return decide(latest_enrichments(between(enrichments, None, at.upper_us)), messages, at.policy).filter("reason is not null")
 
 
 class CommitLog:
@@ -106,24 +123,58 @@ class CommitLog:
             raise OSError(f"batch {n} could not be committed")
         return n
 
-    def read(self, schema=None) -> DataFrame:
-        """The rows of all valid batches."""
-        paths = [f"{self.path}/b={n}/rows" for n in self.batches()]
-        if not paths:
-            return self.spark.createDataFrame([], schema or "doc_id string")
-        reader = self.spark.read.schema(schema) if schema else self.spark.read
-        return reader.parquet(*paths)
+    def read(self) -> DataFrame:
+        """The rows of all valid batches, with the number of each in ``batch``."""
+        frames = [self.spark.read.schema(DECISION).parquet(f"{self.path}/b={n}/rows").withColumn("batch", F.lit(n)) for n in self.batches()]
+        if not frames:
+            return self.spark.createDataFrame([], f"{DECISION}, batch int")
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
+
+    def standing(self) -> DataFrame:
+        """The last decision on each document: that of the greatest batch."""
+        last = self.read().groupBy("doc_id").agg(F.max_by(F.struct("enriched_us", "policy", "reason"), "batch").alias("_d"))
+        return last.select("doc_id", "_d.*")
+
 
+DECISION = "doc_id string, enriched_us bigint, reason string, policy string"
 
-def run_incremental(enrichments: DataFrame, messages: DataFrame, runs: DataFrame, log: CommitLog) -> int | None:
-    """Process what is pending and commit it with its watermark; the batch's number, or None if nothing is pending
-    beyond what the log's batches hold already."""
+
+def run_incremental(enrichments: DataFrame, messages: DataFrame, runs: DataFrame, log: CommitLog, *, upper_us: int | None = None, lateness_us: int = 0) -> int | None:
+    """Decide on what was committed since the log's watermark and commit the decisions with the new watermark; the batch's
+    number, or None if nothing is new.
+
+    The upper limit is fixed first (*upper_us*, or the newest commit). Of the enrichments only rows above the watermark are
+    read (from *lateness_us* before it on, for logs whose rows come late), for the newest commit of a document
+    that has any is among them; documents of a batch that stand as they were decided before are left out. Another policy concerns every document,
+    so it starts from the log's beginning. A run that dies leaves no mark, and the next one starts from the same watermark.
+    """
     at = bounds(enrichments, runs)
-    rows = pending(enrichments, messages, at)
-    if log.batches():
-        done = log.read().groupBy("doc_id").agg(F.max_by(F.struct("enriched_us", "policy"), "batch_upper").alias("_d"))
-        same = F.col("_d.enriched_us").eqNullSafe(F.col("enriched_us")) & F.col("_d.policy").eqNullSafe(F.lit(at.policy))
-        rows = rows.join(done, "doc_id", "left").filter(F.col("_d").isNull() | ~same).drop("_d")
-    if rows.isEmpty():
+    upper = at.upper_us if upper_us is None else upper_us
+    mark = log.watermark()
+    low = mark.get("upper_us") if mark.get("policy") == at.policy and mark else None
+    if low is not None and upper is not None and upper <= low and not lateness_us:
         return None
-    return log.commit(rows.withColumns({"policy": F.lit(at.policy).cast("string"), "batch_upper": F.lit(at.upper_us).cast("long")}), {"upper_us": at.upper_us, "policy": at.policy})
+    found = decide(latest_enrichments(between(enrichments, None if low is None else low - lateness_us, upper)), messages, at.policy)
+    found = found.withColumn("policy", F.lit(at.policy).cast("string"))
+    if mark:
+        was = log.standing().select("doc_id", F.struct("enriched_us", "policy").alias("_was"))
+        found = found.join(was, "doc_id", "left").filter(~F.struct("enriched_us", "policy").eqNullSafe(F.col("_was"))).drop("_was")
+    return log.commit(found, {"upper_us": upper, "policy": at.policy})
+
+
+def catch_up(enrichments: DataFrame, messages: DataFrame, runs: DataFrame, log: CommitLog) -> DataFrame:
+    """``doc_id, enriched_us, reason`` of everything that is to be processed, after the runs that *log* still lacks.
+
+    The first goes up to the start of the last successful run under the current policy, over what that one should have
+    processed, and finds what it and failed ones left; the second reads only what was committed since. What a run found stands until a
+    later one decides otherwise.
+    """
+    at = bounds(enrichments, runs)
+    done = last_success(runs, at.policy)
+    if not log.batches() and done is not None and at.upper_us is not None and done < at.upper_us:
+        run_incremental(enrichments, messages, runs, log, upper_us=done)
+    run_incremental(enrichments, messages, runs, log)
+    return log.standing().filter("reason is not null").select("doc_id", "enriched_us", "reason")

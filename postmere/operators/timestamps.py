@@ -116,35 +116,61 @@ def zone_scores(fields: DataFrame, candidates: list[str], slack_s: int = 120) ->
     return sums.groupBy("_src", "zone", "order", "rank").agg(F.sum("n").alias("n"), F.sum("violations").alias("violations"), F.sum("lag").alias("lag"))
 
 
-def estimate_zones(fields: DataFrame, candidates: list[str]) -> DataFrame:
-    """The history with the least lag in all, of equals the first candidate. A violation or an impossible date costs the
+def _cost():
+    """Hours by which a history misses: a violation or an impossible date costs the
     12 hours at which lags are cut, so that a single wrong clock doesn't outweigh the lag of all other values."""
-    best = F.min_by(F.struct("zone", "order"), F.struct(F.round((F.col("violations") - F.col("n")) * 12 + F.col("lag"), 6), "rank", "order"))
+    return F.round((F.col("violations") - F.col("n")) * 12 + F.col("lag"), 6)
+
+
+def estimate_zones(fields: DataFrame, candidates: list[str]) -> DataFrame:
+    """The history with the least cost, of equals the first candidate."""
+    best = F.min_by(F.struct("zone", "order"), F.struct(_cost(), "rank", "order"))
     return zone_scores(fields, candidates).groupBy("_src").agg(best.alias("_b")).select("_src", F.col("_b.zone").alias("_zone"), F.col("_b.order").alias("_order"))
 
 
+#: What a declared zone may miss by and still hold: hours in all, and hours a value.
+TRUST, TRUST_EACH = 24.0, 0.25
+
+
+def choose_zones(fields: DataFrame, sources: DataFrame) -> DataFrame:
+    """``_src, _zone, _order`` of each source, by the alignment of its local times with ingestion, with what was declared and how the two fit.
+
+    All distinct histories of the tz database are candidates for every source. A declared zone and order are a prior:
+    they hold unless the best history fits better by more than :data:`TRUST` hours in all and :data:`TRUST_EACH`
+    hours a value, so a handful of values or wrong clocks doesn't overrule the list, and a list that is plainly wrong doesn't overrule the values.
+    """
+    declared = declared_zones(sources)
+    # one row per IANA zone in use: at most the size of the tz database
+    zones = sorted({r[0] for r in declared.select("_zone").distinct().collect()})
+    candidates = distinct_histories(fields.sparkSession, zones)
+    stands = {history(z): z for z in reversed(candidates)}
+    alias = F.create_map(*[F.lit(x) for z in zones for x in (z, stands[history(z)])]) if zones else F.create_map(F.lit(""), F.lit(""))
+    scores = materialize(zone_scores(fields, candidates), "scores")
+    best = scores.groupBy("_src").agg(F.min_by(F.struct("zone", "order", _cost().alias("cost"), "n", "violations"), F.struct(_cost(), "rank", "order")).alias("_b"))
+    named = declared.select("_src", F.col("_zone").alias("_declared"), F.col("_order").alias("_declared_order"), F.try_element_at(alias, F.col("_zone")).alias("zone"))
+    own = scores.join(named.select("_src", "zone", F.col("_declared_order").alias("order")), ["_src", "zone", "order"]).select("_src", _cost().alias("_own"), F.col("violations").alias("declared_violations"))
+    both = named.drop("zone").join(best, "_src", "full").join(own, "_src", "left")
+    holds = F.col("_declared").isNotNull() & (F.col("_b").isNull() | (F.coalesce(F.col("_own"), F.lit(0.0)) <= F.col("_b.cost") + TRUST + TRUST_EACH * F.col("_b.n")))
+    return both.select(
+        "_src", F.when(holds, F.col("_declared")).otherwise(F.coalesce("_b.zone", F.lit("UTC"))).alias("_zone"), F.when(holds, F.col("_declared_order")).otherwise(F.coalesce("_b.order", F.lit("dmy"))).alias("_order"),
+        F.col("_b.zone").alias("_best"), F.col("_b.order").alias("_best_order"), "_declared", "_declared_order", F.col("_b.violations").alias("violations"), "declared_violations",
+    )
+
+
 def normalize_timestamps(records: DataFrame, sources: DataFrame, max_sources: int = 100_000) -> DataFrame:
     """``delivery_id, sent_us``: each delivery whose ``sent_at`` names an instant, with microseconds since 1970 UTC.
 
-    Zone and day order of values without them are those that the source list declares; for sources that it
-    doesn't list they are estimated from the alignment of local times with ingestion times
-    (:func:`estimate_zones`), among all distinct offset histories of the tz database. Null, empty, impossible or unreadable values and bare days give no row. A null or
+    Zone and day order of values without them are found by the alignment of local times with ingestion times, with the
+    source list's as a prior (:func:`choose_zones`). Null, empty, impossible or unreadable values and bare days give no row. A null or
     unknown source counts as one undeclared source; without any delivery time to align with it is read as UTC,
     day first. Repeated rows give repeated results; other columns are ignored. The zones are broadcast while
-    the list has at most *max_sources* rows, and joined otherwise.
+    there are at most *max_sources* sources, and joined otherwise.
     """
     fields = _fields(records)
-    declared = declared_zones(sources)
-    # one row per IANA zone in use: at most the size of the tz database
-    zones = sorted({r[0] for r in declared.select("_zone").distinct().collect()})
-    small = sources.limit(max_sources + 1).count() <= max_sources
-    hint = F.broadcast if small else (lambda x: x)
-    known = hint(declared)
-    unknown = fields.join(known, "_src", "left_anti")
-    guessed = materialize(estimate_zones(unknown, distinct_histories(records.sparkSession, zones)), "zones")
-    every = hint(declared.unionByName(guessed))
-    own = _own_map(sorted({*zones, *CANDIDATES, *(r[0] for r in guessed.select("_zone").distinct().collect())}))
-    joined = fields.join(every, "_src", "left")
+    chosen = materialize(choose_zones(fields, sources).select("_src", "_zone", "_order"), "zones")
+    hint = F.broadcast if chosen.limit(max_sources + 1).count() <= max_sources else (lambda x: x)
+    own = _own_map(sorted({*CANDIDATES, *(r[0] for r in chosen.select("_zone").distinct().collect())}))
+    joined = fields.join(hint(chosen), "_src", "left")
     zone = F.coalesce("_zone", F.lit("UTC"))
     done = with_instant(joined, "_f", zone, F.coalesce("_order", F.lit("dmy")), F.try_element_at(own, zone), ZONES, "sent_us")
     return done.select("delivery_id", "sent_us")

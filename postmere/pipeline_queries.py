@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmere.operators import incremental, timestamps
-from postmere.sources.tables import table
+from postmere.sources.tables import scratch, table
 from postmere.streaming import dedup
 
 
@@ -15,16 +15,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_zones(spark: SparkSession, d: str) -> DataFrame:
-    """For each source, the history that its local times fit best when aligned with ingestion, and the declared one."""
-    fields = timestamps._fields(table(spark, d, "records"))
-    declared = timestamps.declared_zones(table(spark, d, "source_list"))
-    guess = timestamps.estimate_zones(fields, timestamps.distinct_histories(spark, [])).select("_src", F.col("_zone").alias("estimated_zone"), F.col("_order").alias("estimated_order"))
-    both = guess.join(declared, "_src", "left")
-    return both.select(F.col("_src").alias("source"), "estimated_zone", "estimated_order", F.col("_zone").alias("declared_zone"), F.col("_order").alias("declared_order"))
+    """For each source, the history that its local times fit best when aligned with ingestion, the declared one, and the one used."""
+    records, sources = table(spark, d, "records"), table(spark, d, "source_list")
+    chosen = timestamps.choose_zones(timestamps._fields(records), sources)
+    return chosen.select(F.col("_src").alias("source"), F.col("_best").alias("estimated_zone"), F.col("_best_order").alias("estimated_order"), F.col("_declared").alias("declared_zone"), F.col("_declared_order").alias("declared_order"), F.col("_zone").alias("used_zone"), "violations", "declared_violations")
 
 
 def _first(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.first_deliveries(dedup.deduplicate(spark, f"{d}/records.parquet"))
+    """The deliveries in batches, as they came: their files are read by the stream some at a time."""
+    staged = scratch(spark, "deliveries")
+    rows = table(spark, d, "records").select("delivery_id", "batch_id", "delivered_at", "source", "source_uid", "thread_id")
+    files = max(4, 2 * rows.rdd.getNumPartitions())
+    rows.repartitionByRange(files, "batch_id", "delivery_id").drop("batch_id").write.parquet(staged)
+    store = dedup.deduplicate(spark, staged, files_per_batch=-(-files // 4))
+    return dedup.first_deliveries(store)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,8 +43,8 @@ def p5_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pending(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "enrichments")
-    return incremental.pending(e, table(spark, d, "messages"), incremental.bounds(e, table(spark, d, "sync_runs")))
+    log = incremental.CommitLog(spark, scratch(spark, "decisions"))
+    return incremental.catch_up(table(spark, d, "enrichments"), table(spark, d, "messages"), table(spark, d, "sync_runs"), log)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -30,7 +30,8 @@ _UNIT = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 
 def instant(bound: str, now: dt.datetime) -> dt.datetime:
     """A bound as an instant: an ISO date or time (without offset: UTC), or a duration before *now* like ``14d``."""
-    if m := re.fullmatch(r"(\d+)([smhdw])", bound):
+    bound = bound.strip()
+    if m := re.fullmatch(r"(\d+)\s*([smhdw])", bound.lower()):
         return now - dt.timedelta(seconds=int(m[1]) * _UNIT[m[2]])
     at = dt.datetime.fromisoformat(bound)
     return at.replace(tzinfo=dt.UTC) if at.tzinfo is None else at.astimezone(dt.UTC)
@@ -113,6 +114,7 @@ class QueryPolicy:
     semantic: bool = True
     max_limit: int = 100
     search_depth: int = DEEPEST
+    max_offset: int = 1000
 
     def __post_init__(self):
         if unknown := sorted(self.filterable - FILTERS):
@@ -135,3 +137,39 @@ SANITIZED = QueryPolicy(
 )
 PRESETS = QueryPolicy(filterable=SANITIZED.filterable | {"due"}, aggregatable=SANITIZED.aggregatable | {"suggested_disposition"}, orders=ORDERS)
 SENSITIVE = QueryPolicy(filterable=frozenset({"label", "account", "source", "sent_at"}), aggregatable=frozenset({"label", "month", "account"}), orders=frozenset({"newest", "oldest"}))
+
+
+def clamp(limit: int | None, most: int, default: int | None = None) -> int:
+    """A tool's page size: what was asked for, within 1 and *most*."""
+    return max(1, min(most, default or most if limit is None else limit))
+
+
+def used(spec: Spec) -> dict:
+    """The filters that a query sets, by name."""
+    return {n: v for n, v in spec.filters.items() if v is not None}
+
+
+def schema(policy: QueryPolicy) -> dict:
+    """A JSON schema of the specs that a policy allows: only its filters, orders and dimensions."""
+    any_of = lambda values: {"anyOf": [{"enum": values}, {"type": "array", "items": {"enum": values}, "minItems": 1, "maxItems": MOST_VALUES}]}
+    code = {"type": "string", "pattern": "^[A-Za-z]{2}$"}
+    bounds = {"type": "object", "properties": {"since": {"type": "string"}, "until": {"type": "string"}}, "additionalProperties": False}
+
+    def of(name: str) -> dict:
+        if name in ANY_OF:
+            return any_of(VOCABULARY[name])
+        if name in COUNTRIES:
+            return {"anyOf": [code, {"type": "array", "items": code, "minItems": 1, "maxItems": MOST_VALUES}]}
+        if name in FLAGS:
+            return {"type": "boolean"}
+        if name in TIMES | DAYS:
+            return bounds
+        return {"enum": SENSITIVITY} if name == "max_sensitivity" else {"type": "string", "minLength": 1, "maxLength": LONGEST}
+
+    out: dict = {"filters": {"type": "object", "properties": {n: of(n) for n in sorted(policy.filterable)}, "additionalProperties": False}}
+    if policy.text:
+        out["text"] = {"type": "string", "minLength": 1, "maxLength": LONGEST}
+    out["order"], out["limit"] = {"enum": sorted(policy.orders)}, {"type": "integer", "minimum": 1, "maximum": policy.max_limit}
+    if policy.aggregatable:
+        out["group_by"] = {"type": "array", "items": {"enum": sorted(policy.aggregatable)}, "uniqueItems": True}
+    return {"type": "object", "properties": out, "additionalProperties": False}

@@ -79,6 +79,9 @@ class SeenStore:
         finally:
             source.close()
 
+    def has(self, version: int, part: str) -> bool:
+        return self._fs.exists(self._p(f"{self.path}/v={version}/{part}"))
+
     def drop(self, version: int, part: str) -> None:
         self._fs.delete(self._p(f"{self.path}/v={version}/{part}"), True)
 
@@ -86,8 +89,8 @@ class SeenStore:
 class SeenMessages:
     """The stream's batch function: one instance a store; see the module's text."""
 
-    def __init__(self, store: SeenStore, delay_s: int):
-        self.store, self.delay_s = store, delay_s
+    def __init__(self, store: SeenStore, delay_s: int, compact: int = 8):
+        self.store, self.delay_s, self.compact = store, delay_s, compact
 
     def __call__(self, batch: DataFrame, version: int) -> None:
         done = self.store.committed()
@@ -138,10 +141,19 @@ class SeenMessages:
             state = state.unionByName(hot.join(labelled.select("key"), "key", "left_anti"))
         edge = F.unix_micros("seen") < F.lit((newest or 0) - self.delay_s * 1_000_000)
         state.filter(~F.coalesce(edge, F.lit(True))).write.mode("overwrite").parquet(f"{at}/hot")
-        state.filter(F.coalesce(edge, F.lit(True))).write.mode("overwrite").parquet(f"{at}/cold")
+        cold_rows = state.filter(F.coalesce(edge, F.lit(True)))
+        # every few versions the cold parts become one, so a lookup reads few files whatever the stream's age
+        parts = [v for v in done if self.store.has(v, "cold")]
+        replaced = parts if len(parts) >= self.compact else []
+        if replaced:
+            cold_rows = cold_rows.unionByName(self.store.read("cold", replaced, STATE)).groupBy("key").agg(F.min("label").alias("label"), F.max("seen").alias("seen"))
+        cold_rows.sortWithinPartitions("key").write.mode("overwrite").parquet(f"{at}/cold")
         self.store.mark(version, {"newest": newest})
         for v in last:
             self.store.drop(v, "hot")
+        if replaced:
+            for v in replaced:
+                self.store.drop(v, "cold")
 
 
 def first_deliveries(store: SeenStore) -> DataFrame:
