@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ ONE_IN = 8
 DIMS = 1 << 14
 RANK = 128
 MIN_COSINE = 0.45
+#: Characters of items that are sent to executors at once, on average of the blocks.
+CHARS_PER_BLOCK = 50_000_000
 
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
 _HIDDEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
@@ -49,6 +52,16 @@ def _place(word: str) -> int:
     return xxhash.xxh64_intdigest(word) % DIMS
 
 
+class _Places(dict):
+    """The places of words seen, kept by a task up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        got = self[word] = _place(word)
+        return got
+
+
 class Item:
     """An evaluation item's words and where their triples stand."""
 
@@ -74,81 +87,67 @@ def _runs(words: list[str], item: Item) -> list[tuple[int, int, int]]:
     return sorted((i, p, n) for i, p, n in runs)
 
 
-def _other_answer(body: list[str], text: list[str]) -> bool:
-    """Whether both stretches state figures, and other ones: sentences of one build with other contents."""
-    a, b = ([w for w in ws if any(c.isdigit() for c in w)] for ws in (body, text))
-    return bool(a) and bool(b) and a != b
-
-
-def _beyond(words: list[str], body: list[str], i: int, p: int, step: int, most: int = 2) -> list[tuple[int, int]]:
-    """``(body words gained, errors)`` by going on from ``i, p`` over up to *most* changed, dropped or added words."""
-    best: dict[int, int] = {}
-    for di, dp in ((1, 1), (1, 0), (0, 1)):
-        if di == dp and 0 <= i < len(body) and 0 <= p < len(words) and _other_answer(body[i : i + 1], words[p : p + 1]):
-            continue
-        a, b, n = i + step * di, p + step * dp, 0
-        while 0 <= a < len(body) and 0 <= b < len(words) and body[a] == words[b]:
-            n, a, b = n + 1, a + step, b + step
-        if n:
-            best[1] = max(best.get(1, 0), n + di)
-            if most > 1:
-                for gain, errors in _beyond(words, body, a, b, step, most - 1):
-                    best[errors + 1] = max(best.get(errors + 1, 0), n + di + gain)
-    return [(gain, errors) for errors, gain in best.items()]
-
-
-def _distance(a: list[str], b: list[str]) -> int:
-    """Changed, dropped and added words between two short stretches."""
-    if not a or not b:
-        return len(a) + len(b)
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def longest_leak(words: list[str], item: Item, width: int = WIDTH, one_in: int = ONE_IN, gap: int = 12) -> tuple[int, int] | None:
+def _figure(word: str) -> bool:
+    return any(c.isdigit() for c in word)
+
+
+def _reach(body: list[str], text: list[str], i: int, p: int, step: int, most: int) -> list[int]:
+    """For each number of errors up to *most*, how many body words can be gained from ``i, p`` on in the direction *step*, up to a word that agrees.
+
+    The furthest places on each diagonal with so many changed, dropped or added words, as a whole: no alignment with as few errors
+    gains more. A place where both state a figure, and not the same, is a wall: that is no error but another content.
+    """
+    n, m = (len(body) - i, len(text) - p) if step > 0 else (i + 1, p + 1)
+
+    def slide(x: int, y: int) -> int:
+        while x < n and y < m and body[i + step * x] == text[p + step * y]:
+            x, y = x + 1, y + 1
+        return x
+
+    best = {0: slide(0, 0)}  # diagonal (body minus text words) to body words
+    out = [best[0]]
+    for _ in range(most):
+        fresh: dict[int, int] = {}
+        ended = out[-1]
+        for d, x in best.items():
+            y = x - d
+            if x < n and y < m and _figure(body[i + step * x]) and _figure(text[p + step * y]):
+                continue
+            for e, u, v in ((d, x + 1, y + 1), (d + 1, x + 1, y), (d - 1, x, y + 1)):
+                if u <= n and v <= m:
+                    far = slide(u, v)
+                    # where the last words are equal they agree in an alignment with no more errors
+                    if far > ended and body[i + step * (far - 1)] == text[p + step * (far - e - 1)]:
+                        ended = far
+                    if fresh.get(e, -1) < far:
+                        fresh[e] = far
+        if not fresh:
+            break
+        best = fresh
+        out.append(ended)
+    return out
+
+
+def longest_leak(words: list[str], item: Item, width: int = WIDTH, one_in: int = ONE_IN) -> tuple[int, int] | None:
     """``(body words, errors)`` of the longest stretch of at least *width* consecutive words of the item that stands in
-    *words* with at most one word in *one_in* changed, dropped or added; None if there is none.
+    *words* with at most one word in *one_in* changed, dropped or added, and whose first and last words agree; None if there is none.
 
-    Common stretches of three words or more are chained over gaps of at most *gap* words, whose errors are their edit
-    distance; at both ends the stretch goes on over up to two errors. A gap in which the text states other figures than
-    the item is no error but another content, and ends the stretch.
+    A stretch of n words with e errors has a run of (n - e) / (e + 1) words without any, three or more for one error in eight. From
+    each such run on, both sides are extended over as many errors as the item's length allows, and the best pair of
+    extensions is taken; so every stretch is found, whatever stands in its gaps.
     """
-    runs, body, best = _runs(words, item), item.words, None
-    for k, (i0, p0, n0) in enumerate(runs):
-        left = None
-        i, p, errors, at = i0 + n0, p0 + n0, 0, k
-        while True:
-            length = i - i0
-            if errors * one_in <= length + width:
-                if left is None:
-                    left = [(0, 0), *_beyond(words, body, i0 - 1, p0 - 1, -1)]
-                for gain_r, err_r in [(0, 0), *_beyond(words, body, i, p, 1)]:
-                    for gain_l, err_l in left:
-                        n, e = length + gain_l + gain_r, errors + err_l + err_r
-                        if n >= width and e * one_in <= n and (best is None or n > best[0]):
-                            best = (n, e)
-            nxt = None
-            for m in range(at + 1, len(runs)):
-                a, b, n = runs[m]
-                if a - i > gap:
-                    break
-                lap = max(i - a, p - b, 0)
-                if lap >= n or b + lap - p > gap:
-                    continue
-                if _other_answer(body[i : a + lap], words[p : b + lap]):
-                    continue
-                cost = _distance(body[i : a + lap], words[p : b + lap])
-                if nxt is None or cost < nxt[0]:
-                    nxt = (cost, m)
-            if nxt is None or nxt[0] > 3 or (errors + nxt[0]) * one_in > len(body):
-                break
-            errors, at = errors + nxt[0], nxt[1]
-            i, p = runs[at][0] + runs[at][2], runs[at][1] + runs[at][2]
-    return best
+    body, best = item.words, None
+    most = len(body) // one_in
+    for i, p, n in _runs(words, item):
+        if best is not None and i >= best[2] and i + n <= best[2] + best[0] and p >= best[3] and p + n <= best[4]:
+            continue  # within the best stretch
+        left, right = _reach(body, words, i - 1, p - 1, -1, most), _reach(body, words, i + n, p + n, 1, most)
+        for e1, gain1 in enumerate(left):
+            for e2, gain2 in enumerate(right):
+                size, errors = n + gain1 + gain2, e1 + e2
+                if size >= width and errors * one_in <= size and (best is None or size > best[0]):
+                    best = (size, errors, i - gain1, p - gain1 - e1, p + n + gain2 + e2)
+    return best[:2] if best is not None else None
 
 
 def _spans(words: list[str], vocabulary: set[str], width: int, least: int) -> list[tuple[int, int]]:
@@ -169,22 +168,33 @@ def _spans(words: list[str], vocabulary: set[str], width: int, least: int) -> li
     return [(a, b) for a, b in spans]
 
 
+def _starts(n: int, width: int, stride: int) -> list[int]:
+    last = max(0, n - width)
+    return sorted({*range(0, last, stride), last})
+
+
 def _passages(words: list[str], width: int, stride: int) -> list[list[str]]:
-    last = max(0, len(words) - width)
-    return [words[a : a + width] for a in sorted({*range(0, last, stride), last})]
-
-
-def _vectors(passages: list[list[str]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and weights of unit TF-IDF vectors, as two arrays of one row a passage, padded with weight 0."""
-    wide = max(map(len, passages))
-    at = np.zeros((len(passages), wide), dtype=np.int64)
-    weight = np.zeros((len(passages), wide))
-    for k, ws in enumerate(passages):
-        places = [_place(w) for w in ws]
-        at[k, : len(ws)] = places
-        weight[k, : len(ws)] = idf[places]
+    return [words[a : a + width] for a in _starts(len(words), width, stride)]
+
+
+def _rows(places: np.ndarray, width: int) -> np.ndarray:
+    """The passages of a text, given as places of its words: one after the other, the last one back from the end; padded with -1."""
+    n = len(places)
+    if n <= width:
+        return np.pad(places.astype(np.int64), (0, width - n), constant_values=-1)[None] if n else np.zeros((0, width), dtype=np.int64)
+    whole = places[: n // width * width].reshape(-1, width)
+    return np.concatenate([whole, places[None, n - width :]]).astype(np.int64) if n % width else whole.astype(np.int64)
+
+
+def _vectors(at: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and weights of unit TF-IDF vectors of passages given by :func:`_rows`."""
+    weight = np.where(at >= 0, idf[at], 0.0)
     weight /= np.maximum(np.linalg.norm(weight, axis=1, keepdims=True), 1e-12)
-    return at, weight
+    return np.maximum(at, 0), weight
+
+
+def _placed(passages: list[list[str]], width: int) -> np.ndarray:
+    return np.concatenate([_rows(np.array([_place(w) for w in p], dtype=np.int64), width)[:1] for p in passages]) if passages else np.zeros((0, width), dtype=np.int64)
 
 
 def _times(at: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -194,23 +204,23 @@ def _times(at: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return out
 
 
-def _gathered(spans: DataFrame, own: list[list[str]], partial, columns: int) -> np.ndarray:
-    """The sum over all passages of a DIMS x *columns* matrix that *partial* makes of a list of passages.
+def _gathered(texts: DataFrame, own: np.ndarray, partial, columns: int) -> np.ndarray:
+    """The sum over the passages of all documents (and of the items) of a DIMS x *columns* matrix that *partial* makes of a list of passages.
 
     Each task sends its sum in blocks of rows; blocks are added up in two steps, so a task holds a block from a few
-    hundred others, never all. The result has a fixed size, whatever the corpus.
+    hundred others, never all. The result has a fixed size, whatever the documents.
     """
     rows = 512
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for pdf in batches:
-            passages = [p for ws in pdf["words"] for p in _passages(ws.split(" "), WIDTH, 5)]
+            passages = [_rows(np.frombuffer(x, dtype=np.int16), WIDTH) for x in pdf["places"] if len(x)]
             if passages:
-                part = partial(passages)
+                part = partial(np.concatenate(passages))
                 total = part if total is None else total + part
         if total is not None:
-            share = int(uuid.uuid4().int % 64)
+            share = TaskContext.get().partitionId() % 64  # the same if the task runs again
             yield pd.DataFrame({"block": range(DIMS // rows), "share": share, "data": [total[b * rows : (b + 1) * rows].astype("float32").tobytes() for b in range(DIMS // rows)]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -218,30 +228,29 @@ def _gathered(spans: DataFrame, own: list[list[str]], partial, columns: int) ->
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "share": [0], "data": [total.astype("float32").tobytes()]})
 
     schema = "block int, share int, data binary"
-    parts = spans.mapInPandas(run, schema).groupBy("block", "share").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
+    parts = texts.mapInPandas(run, schema).groupBy("block", "share").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
     out = partial(own)
     for r in parts.collect():
         out[r["block"] * rows : (r["block"] + 1) * rows] += np.frombuffer(r["data"], dtype="float32").reshape(rows, columns)
     return out
 
 
-def latent_space(spans: DataFrame, own: list[list[str]], rank: int = RANK, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def latent_space(texts: DataFrame, own: np.ndarray, rank: int = RANK, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Inverse document frequencies and the leading right singular vectors of all passages' TF-IDF matrix, by a
-    randomised range finder with one power iteration; *own* are the passages of the items."""
+    randomised range finder with one power iteration. *texts* has the places of each document's words; *own* are the passages of the items."""
     one = np.ones(DIMS)
 
-    def count(passages: list[list[str]]) -> np.ndarray:
-        df = np.zeros((DIMS, 1))
-        for ws in passages:
-            df[list({_place(w) for w in ws}), 0] += 1
-        return df
+    def count(passages: np.ndarray) -> np.ndarray:
+        each = np.sort(passages, axis=1)
+        first = np.concatenate([np.ones((len(each), 1), dtype=bool), each[:, 1:] != each[:, :-1]], axis=1) & (each >= 0)
+        return np.bincount(each[first], minlength=DIMS).astype(float)[:, None]
 
-    df = _gathered(spans, own, count, 1)[:, 0]
+    df = _gathered(texts, own, count, 1)[:, 0]
     idf = np.log((df.max() + 1.0) / (df + 1.0)) + 0.1 * one
     basis = np.random.default_rng(seed).standard_normal((DIMS, rank + 8))
     for _ in range(2):
 
-        def power(passages: list[list[str]], basis=basis) -> np.ndarray:
+        def power(passages: np.ndarray, basis=basis) -> np.ndarray:
             at, weight = _vectors(passages, idf)
             image = _times(at, weight, basis)
             out = np.zeros_like(basis)
@@ -249,7 +258,7 @@ def latent_space(spans: DataFrame, own: list[list[str]], rank: int = RANK, seed:
                 np.add.at(out, at[lo : lo + 2000], weight[lo : lo + 2000, :, None] * image[lo : lo + 2000, None, :])
             return out
 
-        basis = np.linalg.qr(_gathered(spans, own, power, rank + 8))[0]
+        basis = np.linalg.qr(_gathered(texts, own, power, rank + 8))[0]
     return idf, basis[:, :rank]
 
 
@@ -257,7 +266,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, width: int = WIDTH, one_i
     """``doc_id, item_id, words, errors``: each document that holds at least *width* consecutive words of an item with at
     most one word in *one_in* changed, dropped or added, with the length and errors of the longest such stretch.
 
-    Items go in blocks of *items_per_block* against all documents, so what is sent to executors has a bound. A
+    Items go in blocks of at most *items_per_block* and of a bounded number of words against all documents, so what is sent to executors has a bound. A
     document is searched only where a window of *width* words has all but a few in the block's vocabulary: elsewhere
     no passage can stand. Null texts, bodies and ids give no row, nor do items of fewer words than *width*; copies of
     a document are found each for itself, rows that repeat a ``doc_id`` are one document.
@@ -266,7 +275,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, width: int = WIDTH, one_i
     ship_package(spark)
     texts = documents.filter("text is not null and doc_id is not null").select("doc_id", "text")
     held = materialize(items.filter("body is not null and item_id is not null").select("item_id", "body"), "items")
-    blocks = -(-held.count() // items_per_block)
+    size = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("chars")).first()
+    blocks = max(-(-size["n"] // items_per_block), -(-size["chars"] // CHARS_PER_BLOCK)) if size["n"] else 0
     found = None
     for b in range(blocks):
         rows = held.filter(F.pmod(F.xxhash64("item_id", "body"), F.lit(blocks)) == b).collect()
@@ -287,19 +297,22 @@ def _search_block(texts: DataFrame, items: list[Item], width: int, one_in: int,
     least = width - width // one_in - 2
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Places()
         for pdf in batches:
             out = []
             for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 ws = words_of(text)
-                out += [(i, " ".join(ws[a:b])) for a, b in _spans(ws, vocabulary.value, width, least)]
-            yield pd.DataFrame(out, columns=["doc_id", "words"])
+                out.append((i, np.array([known[w] for w in ws], dtype=np.int16).tobytes(), [" ".join(ws[a:b]) for a, b in _spans(ws, vocabulary.value, width, least)]))
+            yield pd.DataFrame(out, columns=["doc_id", "places", "spans"])
 
-    spans = materialize(texts.mapInPandas(cut, "doc_id bigint, words string"), "spans")
+    cuts = materialize(texts.mapInPandas(cut, "doc_id bigint, places binary, spans array<string>"), "spans")
+    spans = cuts.select("doc_id", F.explode("spans").alias("words"))
     own = [(k, p) for k, it in enumerate(items) for p in _passages(it.words, width, 3)]
     if not own:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, words int, errors int")
-    idf, basis = latent_space(spans, [p for _, p in own], rank)
-    at, weight = _vectors([p for _, p in own], idf)
+    mine = _placed([p for _, p in own], width)
+    idf, basis = latent_space(cuts, mine, rank)
+    at, weight = _vectors(mine, idf)
     latent = _times(at, weight, basis).astype("float32")
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, idf, basis.astype("float32"), latent, np.array([k for k, _ in own]), [(it.item_id, it.words) for it in items]))
@@ -309,20 +322,28 @@ def _search_block(texts: DataFrame, items: list[Item], width: int, one_in: int,
         if key not in _SEEN:
             _SEEN.clear()
             _SEEN[key] = [Item(*x) for x in plain]
-        known = _SEEN[key]
+        known, known_places = _SEEN[key], _Places()
         for pdf in batches:
             out = []
             for i, text in zip(pdf["doc_id"], pdf["words"], strict=True):
                 ws = text.split(" ")
-                at, weight = _vectors(_passages(ws, width, 4), idf)
+                starts = _starts(len(ws), width, 4)
+                places = np.array([known_places[w] for w in ws], dtype=np.int64)
+                at, weight = _vectors(np.stack([np.pad(places[a : a + width], (0, max(0, width - len(places) + a)), constant_values=-1) for a in starts]), idf)
                 image = _times(at, weight, basis).astype("float32")
                 image /= np.maximum(np.linalg.norm(image, axis=1, keepdims=True), 1e-9)
-                near = np.flatnonzero((image @ latent.T >= min_cosine).any(axis=0))
+                close = image @ latent.T >= min_cosine
+                near = np.flatnonzero(close.any(axis=0))
                 for k in sorted(set(owner[near].tolist())):
-                    if got := longest_leak(ws, known[k], width, one_in):
+                    # the stretch around the passages that met, wide enough for any alignment of the item
+                    at = np.flatnonzero(close[:, owner == k].any(axis=1))
+                    reach = len(known[k].words) * 9 // 8 + width
+                    lo, hi = max(0, starts[int(at[0])] - reach), starts[int(at[-1])] + width + reach
+                    if got := longest_leak(ws[lo:hi], known[k], width, one_in):
                         out.append((i, known[k].item_id, *got))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "words", "errors"])
 
-    # few small files, much work: spread over the cluster, whatever their number
-    spread = spans.repartition(max(48, 4 * spark.sparkContext.defaultParallelism))
+    # few small files, much work: a task for every few thousand stretches, and enough for the cluster
+    stretches = spans.count()
+    spread = spans.repartition(max(4 * spark.sparkContext.defaultParallelism, stretches // 2000 + 1))
     return materialize(spread.mapInPandas(search, "doc_id bigint, item_id bigint, words int, errors int"), "leaks")
