@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import pathlib
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,24 +40,26 @@ def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     in a public byte-level vocabulary, whose file each executor reads."""
     ship_package(documents.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoder(tokenizer)
-        for pdf in batches:
-            pdf["tokens"] = [len(t) for t in enc.encode_ordinary_batch(list(pdf["text"]), num_threads=1)]
-            yield pdf
+    @F.pandas_udf("bigint")
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(t) for t in _encoder(tokenizer).encode_ordinary_batch(list(texts), num_threads=1)], dtype="int64")
 
     rows = documents.filter("doc_id is not null and text is not null and source is not null").select("doc_id", source_key(F.col("source")).alias("source"), "text")
-    return rows.mapInPandas(run, "doc_id bigint, source string, text string, tokens bigint")
+    return rows.withColumn("tokens", count("text"))
 
 
-def capped_mean(rate: float, cap: int) -> float:
-    """The mean of a Poisson count of mean *rate*, cut at *cap*."""
-    p, below, mean = math.exp(-rate), 0.0, 0.0
+def shares_below(rate: float, cap: int) -> list[float]:
+    """For k from 0 to *cap* - 1, how likely a Poisson count of mean *rate* is at most k; by logarithms, so that a large rate doesn't underflow."""
+    below, out = 0.0, []
     for k in range(cap):
-        below += p
-        mean += k * p
-        p *= rate / (k + 1)
-    return mean + cap * (1 - below)
+        below += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if 0 < rate < math.inf else float(rate == 0)
+        out.append(min(1.0, below))
+    return out
+
+
+def capped_mean(rate: float, cap: int) -> float:
+    """The mean of a Poisson count of mean *rate*, cut at *cap*: the sum of how likely it is above each k."""
+    return cap - sum(shares_below(rate, cap))
 
 
 def poisson_rate(mean: float, cap: int) -> float:
@@ -68,8 +69,6 @@ def poisson_rate(mean: float, cap: int) -> float:
     lo, hi = 0.0, 1.0
     while capped_mean(hi, cap) < mean:
         hi *= 2
-        if hi > 700:
-            return math.inf
     for _ in range(80):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if capped_mean(mid, cap) < mean else (lo, mid)
@@ -99,11 +98,7 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = No
         r["tokens"], r["limits"], r["mean"] = r["tokens"] or 0, [], 0.0
         if r in live:
             r["mean"] = min(float(r["cap"]), total_tokens * r["share"] / scale / r["tokens"])
-            rate, below, p = poisson_rate(r["mean"], r["cap"]), 0.0, 0.0
-            for k in range(r["cap"]):
-                p = math.exp(-rate) if k == 0 else p * rate / k
-                below += p if math.isfinite(rate) else 0.0
-                r["limits"].append(below)
+            r["limits"] = shares_below(poisson_rate(r["mean"], r["cap"]), r["cap"])
     return sorted(rows, key=lambda r: r["source"])
 
 
