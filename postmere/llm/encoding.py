@@ -25,7 +25,8 @@ from postmere.sources.tables import canonical, materialize, ship_package
 
 FIELDS = ("subject", "content", "from_addr")
 BITS = 18
-ROUNDS = 4
+#: Places of sources; rounds at most, and the change of a chain's share from which on no further round is needed.
+SOURCES, ROUNDS, SETTLED = 4096, 8, 0.002
 #: Share of a garbled text's words that may be right all the same, for texts garbled in part.
 MIXED = 0.5
 #: Log odds against right text whose characters happen to be valid UTF-8 byte for byte.
@@ -202,7 +203,8 @@ def _first_guess(token: str, hint: int) -> list[tuple[int, str, float]]:
 
 def tokens_of(records: DataFrame) -> DataFrame:
     """``delivery_id, field, source, tokens``: the words with characters outside ASCII, of texts that have any."""
-    src = F.coalesce(canonical(F.col("source")), F.lit(""))
+    # sources by their place in a table of a fixed size, which bounds the number of priors; sources at one place share theirs
+    src = F.pmod(F.xxhash64(F.coalesce(canonical(F.col("source")), F.lit(""))), F.lit(SOURCES)).cast("string")
     one = lambda f: F.struct(F.lit(f).alias("field"), F.when(F.col(f).rlike(r"[^\x00-\x7F]"), F.regexp_extract_all(F.col(f), F.lit(TOKEN), F.lit(0))).alias("tokens"))
     rows = records.filter("delivery_id is not null").select("delivery_id", src.alias("source"), F.explode(F.array(*[one(f) for f in FIELDS])).alias("_x"))
     return rows.select("delivery_id", "source", "_x.field", "_x.tokens").filter("tokens is not null")
@@ -227,7 +229,7 @@ def fit(tokens: DataFrame, rounds: int = ROUNDS) -> Model:
 
     A token's count in a source and field is all that a round needs, so tokens are counted once (combined before the
     shuffle). A round returns sums of a fixed size to the driver: two tables of 2**BITS places and a number for each
-    chain in each source and field.
+    chain in each field and place of sources. Rounds end when no chain's share changes by :data:`SETTLED`, at the latest after *rounds*.
     """
     spark = tokens.sparkSession
     counts = tokens.select(F.concat_ws("|", "field", "source").alias("group"), F.explode("tokens").alias("token")).groupBy("group", "token").count()
@@ -269,11 +271,24 @@ def fit(tokens: DataFrame, rounds: int = ROUNDS) -> Model:
         for r in sums[~sums["kind"].isin(["2", "3"])].itertuples(index=False):
             priors[r.kind][int(r.at)] += r.value
             priors[""][int(r.at)] += r.value
+        was = _chain_shares(model)
         model = Model(*tables, {g: dict(p) for g, p in priors.items()})
         shared.unpersist()
+        now_ = _chain_shares(model)
+        if was is not None and max((abs(now_[k] - was[k]) for k in range(len(CHAINS))), default=0.0) < SETTLED:
+            break
     return model
 
 
+def _chain_shares(model: Model | None) -> list[float] | None:
+    """The share of each chain among the words outside of right text, relative to all garbled words and 1 % of the others."""
+    if model is None:
+        return None
+    every = model.priors.get("", {})
+    total = sum(n for k, n in every.items() if k) + 0.01 * every.get(0, 0.0) + 1e-9
+    return [every.get(k, 0.0) / total if k else 0.0 for k in range(len(CHAINS))]
+
+
 _STATE: dict[str, tuple[Model, dict[str, set[str]]]] = {}
 
 
@@ -352,6 +367,7 @@ def find_garbled(records: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def repaired(text, fixes):
-    """A text column with its words replaced by ``fixes``, longer ones first."""
-    pairs = F.array_sort(F.map_entries(fixes), lambda a, b: F.length(b["key"]) - F.length(a["key"]))
-    return F.coalesce(F.aggregate(pairs, text, lambda acc, x: F.replace(acc, x["key"], x["value"])), text)
+    """A text column with each word that ``fixes`` has replaced, in one pass over whole words: neither a part of another word nor what a replacement
+    put there is touched."""
+    parts = F.split(text, r"(?<=[ \t\r\n])|(?=[ \t\r\n])")
+    return F.coalesce(F.array_join(F.transform(parts, lambda w: F.coalesce(F.try_element_at(fixes, w), w)), ""), text)
