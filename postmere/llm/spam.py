@@ -4,8 +4,9 @@ A page is cut into lines, long lines into sentences, and each piece is measured:
 page's own most frequent word pairs, of links, hashtags, product codes and numbers. Pieces that say something are
 those with the function words of a language; how many that are at least is calibrated on all documents of that
 language. Neighbouring short lines are judged as one piece. Two shares are of the whole page, that of repeated lines and
-that of its most frequent words; from where on they count is calibrated by language on the pages that say something. A
-page is spam if more than half of its characters stand in pieces that don't.
+that of its most frequent words; from where on they count is calibrated by language on the pages that say something. A page without
+known function words whose words the other pages don't use is of a language without a list: there sentences count as
+such by their form. A page is spam if more than half of its characters stand in pieces that don't say anything.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from postmere.sources.tables import materialize, ship_package
 # Frequent function words by language.
 FUNCTION_WORDS = {
     "en": "the a an of to in and is was for on with that it we i you be are as at by from or not this have has had will would please so but if they our your before until than who which what there been its my me he she them their can could should did do let i’ll don’t doesn’t won’t let’s let's doesn't how all any only",
-    "de": "der die das und ist in zu den dem von mit für auf nicht ein eine einen wir sie ich es sich auch noch wird war aber oder als bei nach über wie dass ob nur bis im am um aus die dir du mir wenn zum zur schon sind hat haben einmal hier darüber also seit denen selbst sonst",
-    "fr": "le la les de des du un une à est pour dans sur que qui nous vous il elle je ne pas plus par avec au aux ce se son sa ses et ou mais te t’ai l’année n’a soit dont déjà encore m’a l’été jusqu’à cette on y",
+    "de": "der die das und ist in zu den dem von mit für auf nicht ein eine einen wir sie ich es sich auch noch wird war aber oder als bei nach über wie dass ob nur bis im am um aus die dir du mir wenn zum zur schon sind hat haben hier darüber also seit denen sonst",
+    "fr": "le la les de des du un une à est pour dans sur que qui nous vous il elle je ne pas plus par avec au aux ce se son sa ses et ou mais te n’a soit dont déjà encore  jusqu’à on y",
     "es": "el la los las de del un una por con para no se lo su es al más y en que a me te si nos ya o pero desde hasta muy sin ha hay así está entre esta este después mi",
-    "nb": "og er på det en et for ikke vi å har som til av den med jeg kan om fra så de var men i får ble noe noen dem alt når hva ved sin et siden enn skal du hos oppe ellers være eller bare dere",
+    "nb": "og er på det en et for ikke vi å har som til av den med jeg kan om fra så de var men i får ble noe noen dem alt når hva ved sin et siden enn skal du hos ellers være eller bare dere",
     "ru": "и в не на что с по за из но мы до от как это для у же о бы ещё они он к ли все был была его то а или через только",
-    "pl": "i w na z że się nie do o jest za po od już czy to mi ale co jak tu oraz a są dla mam być ma jeszcze raz tylko też bo we ze w zeszłym coś",
+    "pl": "i w na z że się nie do o jest za po od już czy to mi ale co jak tu oraz a są dla mam być ma jeszcze raz tylko też bo we ze",
 }
 _FW = {w: tuple(k for k, ws in FUNCTION_WORDS.items() if w in ws.split()) for ws in FUNCTION_WORDS.values() for w in ws.split()}
 
@@ -40,6 +41,8 @@ _HASH = re.compile(r"#[^\W\d][\w-]*|#\d+-\w+")
 _CODE = re.compile(r"\b(?:SKU|ART|REF|EAN|ASIN|MPN|ITEM)[-\s#]?[A-Z0-9]*\d[A-Z0-9]*\b", re.I)
 _WORD = re.compile(r"[^\W_][\w’'-]*")
 _QUOTE = re.compile(r"^[\s>|]+")
+#: A sentence by its form: a capital or a letter without case first, a mark at its end.
+_FORM = re.compile(r"^[\W\d]*[^\W\d_a-zà-öø-ÿа-я].{20,}[.!?…。！？][\"'”’»)]*$", re.S)
 #: A line that counts, dates or lists things: a quantity, a time or a weekday, a bullet with a sentence.
 _ENTRY = re.compile(r"^\s*(?:\d+\s?[x×]\s|\d{1,2}[:.]\d{2}\b|(?:mon|tue|wed|thu|fri|sat|sun)\w*\s+\d|\d{4}-\d\d-\d\d|[-*•]\s+\w+:)", re.I)
 SEPARATORS = re.compile(r"[,;|/»·•>~]|\s-\s")
@@ -72,7 +75,7 @@ def measure(text: str) -> tuple[str, float, float, float, list[tuple]]:
     frequent other words in its words, and for each piece: its language, characters, words, share
     of function words in that language, share of link characters, of hashtag characters, codes, whether it is an entry of a list, share of words
     in the page's most frequent pairs, separators per word, how often it stands in the page, words and share of function
-    words of the run of short lines that it belongs to.
+    words of the run of short lines that it belongs to, whether it has the form of a sentence.
 
     A repeated line that has function words is repeated history, which says nothing about stuffing: it counts once.
     """
@@ -129,12 +132,12 @@ def measure(text: str) -> tuple[str, float, float, float, list[tuple]]:
             if p in top:
                 covered |= {k, k + 1}
         size = max(1, len(piece))
-        out.append((speech, float(len(piece)), float(n), fw, linked / size, tagged / size, float(codes), float(entry), len(covered) / n if n else 0.0, len(SEPARATORS.findall(piece)) / max(1, n), float(copies[said]) if said else 1.0, float(run), run_fw))
+        out.append((speech, float(len(piece)), float(n), fw, linked / size, tagged / size, float(codes), float(entry), len(covered) / n if n else 0.0, len(SEPARATORS.findall(piece)) / max(1, n), float(copies[said]) if said else 1.0, float(run), run_fw, float(bool(_FORM.match(piece)))))
     frequent = sum(c for _, c in singles.most_common(TOP) if c >= 4)
     return lang, known / total if total else 0.0, repeated / max(1, sum(len(x[0]) for x in parts)), frequent / max(1, said_words), out
 
 
-NAMES = ("lang", "chars", "words", "fw", "link", "tags", "codes", "entry", "pairs", "seps", "copies", "run", "run_fw")
+NAMES = ("lang", "chars", "words", "fw", "link", "tags", "codes", "entry", "pairs", "seps", "copies", "run", "run_fw", "form")
 
 
 def features(documents: DataFrame) -> DataFrame:
@@ -177,18 +180,48 @@ def _map(values: dict[str, float], default: float):
     return F.create_map(*[F.lit(v) for kv in (values or {"": default}).items() for v in kv])
 
 
-def spam_share(piece, floor, repeats, dominated):
+#: Places of the table of words that pages in known languages use; pages from which on a place counts as used.
+PLACES, USED = 1 << 21, 2
+#: Share of a page's words in that table below which its language is one without a list.
+FOREIGN = 0.3
+
+
+def known_words(documents: DataFrame, feats: DataFrame, floors: dict[str, float]) -> DataFrame:
+    """``place``: the hashed words that at least :data:`USED` pages use whose function words are those of a known language. A table of at most
+    :data:`PLACES` rows, counted over all pages and combined before the shuffle."""
+    says = feats.filter(F.col("fw") >= F.coalesce(F.try_element_at(_map(floors, 0.06), F.col("lang")), F.lit(0.06))).select("doc_id")
+    words = documents.filter("doc_id is not null and text is not null").select("doc_id", "text").join(says, "doc_id", "left_semi").select(F.explode(_places("text")).alias("place"))
+    return words.groupBy("place").agg(F.count("*").alias("n")).filter(F.col("n") >= USED).select("place")
+
+
+def _places(text: str):
+    """The hashed words of a text, each once."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\p{L}{2,}"), F.lit(0)), lambda w: F.pmod(F.xxhash64(w), F.lit(PLACES)).cast("int")))
+
+
+def foreign(documents: DataFrame, feats: DataFrame, floors: dict[str, float]) -> DataFrame:
+    """``doc_id`` of pages without the function words of a known language, most of whose words no page in a known language uses."""
+    silent = feats.filter(F.col("fw") < F.coalesce(F.try_element_at(_map(floors, 0.06), F.col("lang")), F.lit(0.06))).select("doc_id")
+    texts = documents.filter("doc_id is not null and text is not null").select("doc_id", "text").join(materialize(silent.distinct(), "silent"), "doc_id", "left_semi")
+    each = texts.select("doc_id", F.explode(_places("text")).alias("place")).groupBy("doc_id", "place").agg(F.lit(1).alias("one"))
+    known = F.broadcast(known_words(documents, feats, floors).withColumn("known", F.lit(1)))  # at most PLACES rows of a number
+    share = each.join(known, "place", "left").groupBy("doc_id").agg((F.count("known") / F.count("*")).alias("share"))
+    return share.filter(F.col("share") < FOREIGN).select("doc_id")
+
+
+def spam_share(piece, floor, repeats, dominated, strange):
     """Characters of a piece that count as spam: all or none. *repeats*, *dominated*: whether the page is one of repeated
-    lines, or of a few words."""
+    lines, or of a few words; *strange*: whether it is of a language without a list."""
     p = lambda n: piece[n]
-    empty = p("fw") < floor
+    sentence = strange & (p("form") == 1) & (p("seps") < 0.25) & (p("pairs") < 0.3)
+    empty = (p("fw") < floor) & ~sentence
     list_of_links = (p("link") >= 0.6) | ((p("link") >= 0.2) & (empty | (p("words") <= 6)))
     tags = p("tags") >= 0.5
     product = (p("codes") >= 1) & (empty | (p("pairs") >= 0.2))
     run = empty & (p("words") >= 8) & (p("entry") == 0)
     strung = empty & (p("seps") >= 0.25) & (p("words") >= 5) & (p("entry") == 0)
-    stuffed = (p("pairs") >= 0.3) & (p("words") >= 4) & ((p("entry") == 0) | (p("pairs") >= 0.6))
-    short = (p("run_fw") < floor) & (p("run") >= SHORT)
+    stuffed = (p("pairs") >= 0.3) & (p("words") >= 4) & ((p("entry") == 0) | (p("pairs") >= 0.6)) & ~(strange & (p("form") == 1) & ~dominated)
+    short = (p("run_fw") < floor) & (p("run") >= SHORT) & ~sentence
     listed = short & ((p("pairs") >= 0.3) | dominated)
     again = repeats & empty & (p("copies") > 1)
     return F.when(list_of_links | tags | product | run | strung | stuffed | listed | again, p("chars")).otherwise(0.0)
@@ -207,7 +240,8 @@ def score_pages(documents: DataFrame) -> DataFrame:
     cuts = calibrate_pages(feats, floors)
     over = lambda c, k, low: F.col(c) >= F.coalesce(F.try_element_at(_map({x: v[k] for x, v in cuts.items()}, low), F.col("lang")), F.lit(low))
     repeats, dominated = over("dup", 0, LEAST_DUP), over("top", 1, LEAST_TOP)
+    feats = feats.join(foreign(documents, feats, floors).withColumn("strange", F.lit(True)), "doc_id", "left").withColumn("strange", F.coalesce("strange", F.lit(False)))
     total = F.aggregate("pieces", F.lit(0.0), lambda acc, x: acc + x["chars"])
-    bad = F.aggregate(F.transform("pieces", lambda x: spam_share(x, floor(x), repeats, dominated)), F.lit(0.0), lambda acc, x: acc + x)
+    bad = F.aggregate(F.transform("pieces", lambda x: spam_share(x, floor(x), repeats, dominated, F.col("strange"))), F.lit(0.0), lambda acc, x: acc + x)
     rows = feats.select("doc_id", "lang", F.coalesce(F.try_divide(bad, total), F.lit(0.0)).alias("spam_share"))
     return rows.withColumn("is_spam", F.col("spam_share") > 0.5)
