@@ -87,6 +87,12 @@ def release(*frames: DataFrame) -> None:
         frames[0].sparkSession.sparkContext._jvm.java.lang.System.gc()
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """The size of a file or folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder, if there."""
     jvm = spark.sparkContext._jvm

@@ -173,11 +173,11 @@ def first_deliveries(store: SeenStore) -> DataFrame:
     return out.join(first, "key").select(F.col("label").alias("first_id"), "delivery_id")
 
 
-def deduplicate(spark: SparkSession, path: str, schema=None, *, delay_s: int = 7 * 86400, files_per_batch: int = 512, root: str | None = None) -> SeenStore:
+def deduplicate(spark: SparkSession, path: str, schema=None, *, delay_s: int = 7 * 86400, files_per_batch: int = 512, compact: int = 8, root: str | None = None) -> SeenStore:
     """Take in all deliveries that are new below *path* (parquet) and return the store.
 
     *delay_s*: how long behind the newest event time an identifier stays in the hot state. *files_per_batch* bounds a
-    micro-batch by the files of the source. *root*: the store's and the stream's folder in the shared folder; a later
+    micro-batch by the files of the source; every *compact* versions the expired identifiers become one table. *root*: the store's and the stream's folder in the shared folder; a later
     call with the same root goes on where the last one ended, and after a failure repeats the batch that was under way.
 
     Any column may be null; empty input gives an empty store; further columns of the source are ignored.
@@ -189,7 +189,7 @@ def deduplicate(spark: SparkSession, path: str, schema=None, *, delay_s: int = 7
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
         path = f"{path[:-1]}[{path[-1]}]"  # a stream's source is a folder or a pattern
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    query = stream.writeStream.foreachBatch(SeenMessages(store, delay_s)).option("checkpointLocation", f"{root}/stream").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(SeenMessages(store, delay_s, compact)).option("checkpointLocation", f"{root}/stream").trigger(availableNow=True).start()
     query.awaitTermination()
     return store
 

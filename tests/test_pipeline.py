@@ -81,9 +81,10 @@ def test_deduplication_by_batches(spark, files):
     for k in range(files):
         spark.createDataFrame(rows[k::files], D).coalesce(1).write.mode("append").parquet(path)
     root = scratch(spark, "root")
-    store = dedup.deduplicate(spark, path, root=root, files_per_batch=4)
+    store = dedup.deduplicate(spark, path, root=root, files_per_batch=4, compact=2)
     got = {tuple(r) for r in dedup.repeats(dedup.first_deliveries(store)).select("first_id", "delivery_id").collect()}
     assert got == WANT
+    assert sum(store.has(v, "cold") for v in store.committed()) <= 3
     assert len(store.committed()) == (1 if files == 1 else 4)
     # a later call takes in only what is new, and finds copies whose identifiers have expired
     spark.createDataFrame([(99, day0 + dt.timedelta(days=4000), "gmail:p", "18c2f4a9b0d1e7f3", None, None)], D).coalesce(1).write.mode("append").parquet(path)
@@ -111,6 +112,9 @@ E_SCHEMA = "doc_id string, enrichment struct<a: int>, enriched_at timestamp"
 M_SCHEMA = "id string, enriched_at timestamp, policy_hash string, synced_at timestamp"
 
 
+RUNS = "run_id bigint, policy_hash string, status string, started_at timestamp"
+
+
 def t(k):
     return dt.datetime(2025, 1, k, tzinfo=dt.UTC)
 
@@ -118,7 +122,7 @@ def t(k):
 def test_pending_and_commits(spark):
     e = spark.createDataFrame([("new", (1,), t(3)), ("same", (1,), t(2)), ("same", (1,), t(1)), ("same", (1,), t(2)), ("late", (1,), t(5)), ("policy", (1,), t(2)), ("nopolicy", (1,), t(2)), ("rejected", None, t(9)), ("notime", (1,), None), ("notime2", (1,), None), (None, (1,), t(1))], E_SCHEMA)
     m = spark.createDataFrame([("same", t(1), "p", t(3)), ("same", t(2), "p", t(4)), ("late", t(2), "p", t(4)), ("policy", t(2), "o", t(4)), ("nopolicy", t(2), None, t(4)), ("notime", None, "p", t(1)), ("notime2", t(1), "p", t(1)), ("gone", t(1), "o", t(1))], M_SCHEMA)
-    runs = spark.createDataFrame([(2, "p"), (1, "o")], "run_id bigint, policy_hash string")
+    runs = spark.createDataFrame([(2, "p", "ok", t(4)), (1, "o", "ok", t(1)), (3, "p", "failed", t(6))], RUNS)
     at = incremental.bounds(e, runs)
     got = {r["doc_id"]: r["reason"] for r in incremental.pending(e, m, at).collect()}
     assert got == {"new": "new", "late": "changed", "policy": "policy", "nopolicy": "policy", "notime2": "changed"}
@@ -127,14 +131,15 @@ def test_pending_and_commits(spark):
     assert incremental.run_incremental(e, m, runs, log) is None  # nothing twice
     later = e.unionByName(spark.createDataFrame([("new", (1,), t(8))], E_SCHEMA))
     assert incremental.run_incremental(later, m, runs, log) == 1
-    assert sorted(r["doc_id"] for r in log.read().collect()) == ["late", "new", "new", "nopolicy", "notime2", "policy"]
+    assert sorted(r["doc_id"] for r in log.read().filter("reason is not null").collect()) == ["late", "new", "new", "nopolicy", "notime2", "policy"]
+    assert {r["doc_id"] for r in log.standing().filter("reason is not null").collect()} == {"late", "new", "nopolicy", "notime2", "policy"}
     empty = e.limit(0)
     assert incremental.pending(empty, m, incremental.bounds(empty, runs.limit(0))).collect() == []
 
 
 def test_a_batch_without_its_mark_does_not_count(spark):
     log = incremental.CommitLog(spark, scratch(spark, "log"))
-    rows = spark.createDataFrame([("a",)], "doc_id string")
+    rows = spark.createDataFrame([("a", 1, "new", "p")], incremental.DECISION)
     rows.write.parquet(f"{log.path}/b=0/rows")  # a run that died before its commit
     assert log.batches() == [] and log.watermark() == {}
     assert log.commit(rows, {"upper_us": 7}) == 0
@@ -149,3 +154,44 @@ def test_a_batch_without_its_mark_does_not_count(spark):
 def test_message_references(spark, ref, ok):
     got = spark.createDataFrame([(ref,)], "r string").select(parse_id(F.col("r")).alias("p")).first()["p"]
     assert (got is not None) == ok
+
+
+def test_a_chain_of_three_hundred_copies(spark):
+    from postmere.operators.components import component_labels
+
+    pairs = [(f"a{k}", f"b{j}", k) for k in range(300) for j in (k, k + 1)]
+    got = component_labels(spark.createDataFrame([*pairs, ("z", "y", 7)], "a string, b string, label bigint")).collect()
+    assert {r["label"] for r in got} == {0} and len(got) == 300
+
+
+def test_runs_read_only_beyond_the_watermark(spark):
+    rows = [("a", (1,), t(1)), ("b", (1,), t(3)), ("a", (1,), t(6)), ("c", (1,), t(7))]
+    e = spark.createDataFrame(rows, E_SCHEMA)
+    m = spark.createDataFrame([("a", t(6), "p", t(8)), ("b", t(2), "p", t(3))], M_SCHEMA)
+    runs = spark.createDataFrame([(1, "p", "ok", t(4))], RUNS)
+    log = incremental.CommitLog(spark, scratch(spark, "log"))
+    got = {r["doc_id"]: r["reason"] for r in incremental.catch_up(e, m, runs, log).collect()}
+    assert got == {"b": "changed", "c": "new"}  # what the first run held against a was settled by the second
+    assert {r["doc_id"] for r in log.read().filter("batch = 1").collect()} == {"a", "c"} and len(log.batches()) == 2
+    plan = incremental.between(e, 5, 9)._jdf.queryExecution().toString()
+    assert "enriched_at" in plan and incremental.between(e, 1_736_000_000_000_000, None).count() == 2
+    # a run that dies before its commit leaves the watermark where it was
+    commit, log.commit = log.commit, lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    later = e.unionByName(spark.createDataFrame([("d", (1,), t(9))], E_SCHEMA))
+    with pytest.raises(OSError):
+        incremental.run_incremental(later, m, runs, log)
+    log.commit = commit
+    assert {r["doc_id"] for r in incremental.catch_up(later, m, runs, log).collect()} == {"b", "c", "d"}
+
+
+def test_a_plainly_wrong_zone_of_the_list_does_not_hold(spark):
+    from postmere.operators.timestamps import choose_zones
+
+    zone, data = zoneinfo.ZoneInfo("Asia/Kolkata"), []
+    for k in range(200):
+        sent = dt.datetime(2024, 1, 1, tzinfo=dt.UTC) + dt.timedelta(days=2 * k, hours=k)
+        data += [(k, s, sent.astimezone(zone).strftime("%Y-%m-%d %H:%M"), sent + dt.timedelta(minutes=7)) for s in ("wrong", "few", "right") if s != "few" or k < 2]
+    rows = spark.createDataFrame(data, R)
+    sources = spark.createDataFrame([("wrong", "America/New_York", "dmy"), ("few", "America/New_York", "dmy"), ("right", "Asia/Kolkata", "dmy")], "source string, time_zone string, date_order string")
+    got = {r["_src"]: r["_zone"] for r in choose_zones(fields(rows), sources).collect()}
+    assert got == {"wrong": "Asia/Kolkata", "few": "America/New_York", "right": "Asia/Kolkata"}
