@@ -319,7 +319,7 @@ def test_large_rates_and_their_limits():
 def test_long_signatures_and_history_above_a_reply(spark):
     sign = "\n".join(["--", "Noor Adebarin", *[f"Tel. 07700 9007{k:02}" for k in range(22)]])
     first = "The meter reading was 69 units higher than in March, so I asked the board to check it. We paid 370 GBP for the roof repair last Tuesday. Call me when the ferry tickets have come, please."
-    edited = first.replace("last Tuesday", "on Tuesday").replace("higher than", "higher then")
+    edited = first.replace("higher than", "higher then")
     rows = [
         {"id": 1, "content": "It stays as it is, see you on Monday.\n\n" + sign, "from": "Noor Adebarin <n@x.example>", "uid": "s"},
         {"id": 2, "thread": "t", "content": "Hi Noor,\n" + first, "uid": "a", "from": "Cai <cai@x.example>"}, {"id": 3, "thread": "t", "content": f"{first}\n\nThanks, I will look at it on Friday and talk to the board.", "uid": "b", "from": "Noor <noor@x.example>"},
