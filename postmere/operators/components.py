@@ -13,7 +13,7 @@ def component_labels(pairs: DataFrame) -> DataFrame:
 
     Only what can change takes part: pairs whose ``b`` has one ``a`` connect nothing. Each ``a`` points at a root, at first
     itself. A round sends the smallest root over each ``b`` to the roots of its ``a`` values, hooks those roots below it, and
-    then lets every root point at its root's root until nothing moves, so a chain of n takes about log n rounds.
+    lets the hooks jump to their ends' ends until none moves, so a chain of n takes about log n steps.
     All steps are aggregations that combine before the shuffle and joins on single rows, so no group is ever held by one
     task; a hot ``b`` costs one partial row a partition. Labels of ``a`` values outside the returned rows stay as they are.
     """
@@ -25,16 +25,14 @@ def component_labels(pairs: DataFrame) -> DataFrame:
     while True:
         at = edges.join(roots, "a").select("b", "root").distinct()
         low = at.groupBy("b").agg(F.min("root").alias("low"))
-        hooks = at.join(low, "b").filter("low < root").groupBy("root").agg(F.min("low").alias("to"))
-        hooks = materialize(hooks, "hooks")
+        hooks = materialize(at.join(low, "b").filter("low < root").groupBy("root").agg(F.min("low").alias("to")), "hooks")
         if hooks.isEmpty():
             break
-        while True:  # a hook's end may be hooked itself: jump until none is
-            after = hooks.select(F.col("root").alias("to"), F.col("to").alias("end"))
-            step = materialize(hooks.join(after, "to", "left").select("root", F.coalesce("end", "to").alias("to"), F.col("end").isNotNull().alias("moved")), "jump")
-            moved = step.filter("moved").limit(1).count()
+        while True:  # where a hook ends may be hooked itself: the hooks jump to their ends' ends until none moves
+            hop = hooks.select(F.col("root").alias("to"), F.col("to").alias("end"))
+            step = materialize(hooks.join(hop, "to", "left").select("root", F.coalesce("end", "to").alias("to"), F.col("end").isNotNull().alias("moved")), "jump")
             hooks = step.select("root", "to")
-            if not moved:
+            if step.filter("moved").isEmpty():
                 break
         roots = materialize(roots.join(hooks, "root", "left").select("a", F.coalesce("to", "root").alias("root")), "roots")
     own = pairs.join(roots.select("a"), "a", "left_semi").groupBy("a").agg(F.min("label").alias("label")).join(roots, "a")

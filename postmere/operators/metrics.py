@@ -92,7 +92,9 @@ def bootstrap(rows: DataFrame, num: str = "num", den: str = "den", key: str = "i
 
     sums = each.mapInPandas(partial, "r int, a double, b double").groupBy("r").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter("b <> 0")
     ends = sums.select((F.col("a") / F.col("b")).alias("v")).agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
-    return total.select(F.try_divide("a", "b").alias("value"), "n").join(ends).select("value", "low", "high", "n")  # one row beside one row
+    low, high = ends.first()  # one row
+    bound = lambda x: F.lit(x).cast("double")
+    return total.select(F.try_divide("a", "b").alias("value"), bound(low).alias("low"), bound(high).alias("high"), "n")
 
 
 def multiset_overlap(rows: DataFrame, gold: str, pred: str, key: str = "id") -> DataFrame:

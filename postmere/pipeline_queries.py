@@ -25,9 +25,9 @@ def _first(spark: SparkSession, d: str) -> DataFrame:
     """The deliveries in batches, as they came: their files are read by the stream some at a time."""
     staged = scratch(spark, "deliveries")
     rows = table(spark, d, "records").select("delivery_id", "batch_id", "delivered_at", "source", "source_uid", "thread_id")
-    files = 4 * max(1, -(-stored_bytes(spark, f"{d}/records.parquet") // (256 << 20)))
+    files = 3 * max(1, -(-stored_bytes(spark, f"{d}/records.parquet") // (256 << 20)))
     rows.repartitionByRange(files, "batch_id", "delivery_id").drop("batch_id").write.parquet(staged)
-    store = dedup.deduplicate(spark, staged, files_per_batch=files // 4)
+    store = dedup.deduplicate(spark, staged, files_per_batch=files // 3)
     return dedup.first_deliveries(store)
 
 

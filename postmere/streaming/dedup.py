@@ -122,7 +122,7 @@ class SeenMessages:
         settled = component_labels(pairs.join(own, "a"))
         joined = keys.join(settled.select(F.col("a").alias("key"), F.col("label").alias("all")), "key", "left")
         joined = joined.select("key", F.least(F.coalesce("all", "label"), F.coalesce("was", "label"), "label").alias("label"), "seen", "was")
-        labelled = materialize(joined, "labelled")
+        labelled = joined
         at = f"{self.store.path}/v={version}"
         # an alternative identifier takes the label of its message
         alt = fresh.filter("alt is not null").select("key", "alt").distinct().join(labelled.select("key", "label"), "key")
