@@ -132,13 +132,17 @@ def longest_leak(words: list[str], item: Item, width: int = WIDTH, one_in: int =
     """``(body words, errors)`` of the longest stretch of at least *width* consecutive words of the item that stands in
     *words* with at most one word in *one_in* changed, dropped or added, and whose first and last words agree; None if there is none.
 
-    A stretch of n words with e errors has a run of (n - e) / (e + 1) words without any, three or more for one error in eight. From
+    A stretch of n words with e errors has a run of (n - e) / (e + 1) words without any, five or more for one error in eight. From
     each such run on, both sides are extended over as many errors as the item's length allows, and the best pair of
     extensions is taken; so every stretch is found, whatever stands in its gaps.
     """
     body, best = item.words, None
     most = len(body) // one_in
+    # of n words with e errors, e + 1 runs make up n - e: one of them has at least so many
+    least = max(3, min([width, *(-(-(max(width, e * one_in) - e) // (e + 1)) for e in range(1, most + 1))]))
     for i, p, n in _runs(words, item):
+        if n < least:
+            continue
         if best is not None and i >= best[2] and i + n <= best[2] + best[0] and p >= best[3] and p + n <= best[4]:
             continue  # within the best stretch
         left, right = _reach(body, words, i - 1, p - 1, -1, most), _reach(body, words, i + n, p + n, 1, most)
@@ -235,9 +239,10 @@ def _gathered(texts: DataFrame, own: np.ndarray, partial, columns: int) -> np.nd
     return out
 
 
-def latent_space(texts: DataFrame, own: np.ndarray, rank: int = RANK, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def latent_space(texts: DataFrame, near: DataFrame, own: np.ndarray, rank: int = RANK, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Inverse document frequencies and the leading right singular vectors of all passages' TF-IDF matrix, by a
-    randomised range finder with one power iteration. *texts* has the places of each document's words; *own* are the passages of the items."""
+    randomised range finder with one power iteration. *texts* has the places of each document's words, which give the frequencies, *near* those of the stretches that are
+    searched, which with the items' passages (*own*) give the vectors."""
     one = np.ones(DIMS)
 
     def count(passages: np.ndarray) -> np.ndarray:
@@ -255,10 +260,14 @@ def latent_space(texts: DataFrame, own: np.ndarray, rank: int = RANK, seed: int
             image = _times(at, weight, basis)
             out = np.zeros_like(basis)
             for lo in range(0, len(at), 2000):
-                np.add.at(out, at[lo : lo + 2000], weight[lo : lo + 2000, :, None] * image[lo : lo + 2000, None, :])
+                flat = at[lo : lo + 2000].ravel()
+                order = np.argsort(flat, kind="stable")
+                first = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
+                each = (weight[lo : lo + 2000, :, None] * image[lo : lo + 2000, None, :]).reshape(len(flat), -1)
+                out[flat[order][first]] += np.add.reduceat(each[order], first, axis=0)
             return out
 
-        basis = np.linalg.qr(_gathered(texts, own, power, rank + 8))[0]
+        basis = np.linalg.qr(_gathered(near, own, power, rank + 8))[0]
     return idf, basis[:, :rank]
 
 
@@ -302,16 +311,17 @@ def _search_block(texts: DataFrame, items: list[Item], width: int, one_in: int,
             out = []
             for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 ws = words_of(text)
-                out.append((i, np.array([known[w] for w in ws], dtype=np.int16).tobytes(), [" ".join(ws[a:b]) for a, b in _spans(ws, vocabulary.value, width, least)]))
-            yield pd.DataFrame(out, columns=["doc_id", "places", "spans"])
+                places, parts = np.array([known[w] for w in ws], dtype=np.int16), _spans(ws, vocabulary.value, width, least)
+                out.append((i, places.tobytes(), [" ".join(ws[a:b]) for a, b in parts], [places[a:b].tobytes() for a, b in parts]))
+            yield pd.DataFrame(out, columns=["doc_id", "places", "spans", "near"])
 
-    cuts = materialize(texts.mapInPandas(cut, "doc_id bigint, places binary, spans array<string>"), "spans")
+    cuts = materialize(texts.mapInPandas(cut, "doc_id bigint, places binary, spans array<string>, near array<binary>"), "spans")
     spans = cuts.select("doc_id", F.explode("spans").alias("words"))
     own = [(k, p) for k, it in enumerate(items) for p in _passages(it.words, width, 3)]
     if not own:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, words int, errors int")
     mine = _placed([p for _, p in own], width)
-    idf, basis = latent_space(cuts, mine, rank)
+    idf, basis = latent_space(cuts.select("places"), cuts.select(F.explode("near").alias("places")), mine, rank)
     at, weight = _vectors(mine, idf)
     latent = _times(at, weight, basis).astype("float32")
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
