@@ -361,3 +361,31 @@ def test_similar_spans_and_fitted_weights():
         edges = [(a, b, rng.choice([0.5, 2.0])) for a in range(7) for b in range(a + 1, 7) if rng.random() < 0.3]
         want = [bool(x) for x in pii._settle(scores, edges)]
         assert pii._settle_pairs([x["name"] for x in scores], edges) == want
+
+
+def test_near_sentences_are_found_beside_any_number_of_others(spark):
+    # two pairs of sentences 8 bits apart that share one part of thirteen bits, in a thread with as many others as given
+    x, y = 0b1111, 0b1111 | 1 << 13 | 1 << 14 | 1 << 26 | 1 << 27 | 1 << 39 | 1 << 40 | 1 << 52 | 1 << 60
+    words = "abcdefghijklmnopqrst"
+
+    def mail(i, print_, first):
+        return (i, i, 1, i * 10_000_000, i, [], [], [0, 1], [0, 1], [10, 10], [False, False], [print_, 7], [first + words[1:10], words[10:]], [0], [print_], [i], [0])
+
+    for others in (0, 1 << 18):
+        rows = spark.createDataFrame([mail(1, x, "a"), mail(2, y, "z")], quoting.PARSED)
+        many = f"transform(sequence(1, {others}), k -> {{}})" if others else "array()"
+        filler = spark.createDataFrame([mail(3, 99, "q")], quoting.PARSED).selectExpr(
+            *[c for c in rows.columns if not c.startswith("part")], f"cast({many.format('0')} as array<int>) parts", *[f"cast({many.format('5')} as array<bigint>) {c}" for c in ("part_prints", "part_hashes", "part_figures")],
+        )
+        hits = quoting.inherited(rows.unionByName(filler)).collect()
+        assert [(r["delivery_id"], r["source"], r["exact"]) for r in hits if r["delivery_id"] < 3] == [(2, 1, False)], others
+
+
+def test_sentences_of_one_bucket_have_centres_of_their_own(spark):
+    # a common sentence, and two near ones that share only the part which all three share
+    common, one = 1, 1 | 0b11111 << 13 | 0b11111 << 26
+    other = one ^ (1 << 20 | 1 << 33 | 1 << 46 | 1 << 60)
+    said = [[common, *([one] if i < 3 else []), *([other] if 3 <= i < 5 else [])] for i in range(8)]
+    rows = [(i, i, 1, i, 1, [], [], [0] * len(p), [0] * len(p), [9] * len(p), [False] * len(p), p, ["w"] * len(p), [], [], [], []) for i, p in enumerate(said)]
+    levels, _ = quoting.recurring(spark.createDataFrame(rows, quoting.PARSED))
+    assert {r["print"]: r["level"] for r in levels.collect()} == {common: 3, one: 3, other: 3}
