@@ -389,3 +389,17 @@ def test_sentences_of_one_bucket_have_centres_of_their_own(spark):
     rows = [(i, i, 1, i, 1, [], [], [0] * len(p), [0] * len(p), [9] * len(p), [False] * len(p), p, ["w"] * len(p), [], [], [], []) for i, p in enumerate(said)]
     levels, _ = quoting.recurring(spark.createDataFrame(rows, quoting.PARSED))
     assert {r["print"]: r["level"] for r in levels.collect()} == {common: 3, one: 3, other: 3}
+
+
+def test_weights_are_fitted_on_all_texts(spark):
+    # of many texts thirty tell how little it says that a number was a phone number elsewhere
+    ids = [r["id"] for r in spark.range(2100).orderBy(F.xxhash64("id")).collect()]
+    late = set(ids[-30:])
+    said = "Tel: +47 91 23 45 67\nthen 91 23 45 67 it was"
+    rows = [{"id": k, "content": said if k in late else "nothing to see here"} for k in ids[:-1]]
+    rows.append({"id": ids[-1], "content": "Tel: +47 91 23 45 67\nthen 91 23 45 67 it was\n> Tel: +47 91 23 45 67"})
+    messages = spark.createDataFrame([], "id string, one_line string, action_summary string, synced_at timestamp")
+    found = {(r["line_no"], r["entity_type"]) for r in pii.find_personal(records(spark, rows), messages).filter(f"row_key = '{ids[-1]}'").collect()}
+    assert found == {(0, "phone"), (2, "phone")}
+    redacted = {r["row_key"]: r["redacted"] for r in pii.find_personal(records(spark, rows), messages, with_text=True).collect()}
+    assert len(redacted) == 2100 and redacted[str(ids[-1])] == "Tel: [PHONE]\nthen 91 23 45 67 it was\n> Tel: [PHONE]"
